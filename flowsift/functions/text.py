@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from flowsift.schema import LABEL_NAMES
@@ -18,6 +20,11 @@ def _column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c) -> Column:
     return F.btrim(_column(c), F.lit(WHITESPACE))
 

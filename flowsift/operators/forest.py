@@ -17,6 +17,7 @@ from flowsift.functions.text import NUMBER, WHITESPACE
 from flowsift.operators.features import column_names, record_feature_keys
 from flowsift.operators.metrics import confusion_matrix, metrics_of, ranking_metrics
 from flowsift.schema import CATEGORICAL, LABEL_NAMES, MODEL_RUN
+from flowsift.session import spread
 
 MAX_DEPTH = 30  # the deepest tree MLlib can grow
 
@@ -60,7 +61,7 @@ def train_forest(
     label: str = "label",
 ) -> RandomForestClassificationModel:
     """Forest on a prepared vector column."""
-    data = df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
+    data = spread(df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label")))
     if not weighted:
         return _forest(trees, depth, seed).fit(data)
     data = data.withColumn("weight", _weight_column(data, "label"))
@@ -108,7 +109,7 @@ def train_record_forest(
 
     label = parse_number(F.try_element_at(F.col("data"), F.lit("label"))).cast("int")
     known = df.select("data", label.cast("double").alias("label")).where(F.col("label").isNotNull())
-    data = extract.transform(known)
+    data = extract.transform(spread(known))
 
     stages: list[Any] = [extract]
     inputs, arity = list(names), 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsift.operators.position import BUCKET_ROWS, key_range, prefix_sums
-from flowsift.session import shared_dir
+from flowsift.session import written
 
 
 def _safe(over: Column, under: Column) -> Column:
@@ -124,8 +124,7 @@ def ranking_metrics(
     by_score = sc.groupBy(F.col(score).alias("s")).agg(
         F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("q")
     )
-    shared_dir(sc.sparkSession)
-    by_score = by_score.checkpoint()  # read several times below; scoring must run once
+    by_score = written(by_score, "scores")  # read several times below; scoring must run once
     falling = -F.col("s")
     span = key_range(by_score, falling)
     ranked = prefix_sums(

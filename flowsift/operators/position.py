@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
-from flowsift.session import shared_dir
+from flowsift.session import written
 
 COARSE_BUCKETS = 4_096
 MAX_BUCKETS = 65_536
@@ -123,11 +123,10 @@ def dense_position(
 def number_rows(df: DataFrame, start: int = 1, name: str = "position") -> DataFrame:
     """Consecutive position in the frame's present physical order, for frames without a key.
 
-    The order is fixed by a checkpoint, so a lost executor cannot renumber rows.
+    The order is written down first, so a lost executor cannot renumber rows.
     The broadcast side has one row per partition.
     """
-    shared_dir(df.sparkSession)
-    fixed = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    fixed = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_row", 33)
     sizes = fixed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

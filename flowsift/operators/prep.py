@@ -10,48 +10,53 @@ from flowsift.schema import CATEGORICAL
 
 SMALL = 200_000  # rows per column an exact aggregate may hold
 ACCURACY = 10_000
+SLACK = 3 / ACCURACY
 
 
 def exact_medians(df: DataFrame, cols: list[str], small: int = SMALL) -> dict[str, float | None]:
     """Exact median of every column, in all columns at once; null for an all-null column.
 
-    Each round brackets the wanted rank with a bounded sketch, checks the bracket with
-    exact counts, and goes on inside it until few enough values are left to order.
+    Up to `small` rows an exact aggregate does it. Beyond, each round brackets the wanted
+    rank with a bounded sketch, checks the bracket with exact counts, and goes on inside it
+    until few enough values are left to order.
     """
     x = {c: F.col(c).cast("double") for c in cols}
+    if df.count() <= small:
+        return df.agg(*[F.percentile(v, 0.5).alias(c) for c, v in x.items()]).first().asDict()
     first = df.agg(
-        *[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(c) for c, v in x.items()]
+        *[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(c) for c, v in x.items()],
+        *[F.percentile_approx(v, [0.5 - SLACK, 0.5 + SLACK], ACCURACY).alias(f"~{c}") for c, v in x.items()],
     ).first()
     # Per column: the bracket [lo, hi], values in it, rank of the lower middle inside it.
-    open_ = {
-        c: {"lo": first[c]["lo"], "hi": first[c]["hi"], "n": first[c]["n"], "k": (first[c]["n"] - 1) // 2}
+    state = {
+        c: {**first[c].asDict(), "k": (first[c]["n"] - 1) // 2, "even": first[c]["n"] % 2 == 0}
         for c in cols
         if first[c]["n"]
     }
-    found: dict[str, float] = {}
+    near = {c: first[f"~{c}"] for c in state}
     while True:
-        for c in [c for c, s in open_.items() if s["lo"] == s["hi"]]:
-            found[c] = open_.pop(c)["lo"]
-        wide = {c: s for c, s in open_.items() if s["n"] > small}
+        wide = {c: s for c, s in state.items() if s["n"] > small and s["lo"] < s["hi"]}
         if not wide:
             break
-        _narrow(df, x, wide)
-    found |= _kth_smallest(df, x, open_)
-    return _upper_middles(df, x, found, {c: first[c]["n"] for c in cols})
+        _narrow(df, x, wide, near if near else _bracket(df, x, wide))
+        near = {}
+    return dict.fromkeys(cols) | _middles(df, x, state)
 
 
 def _within(v: Column, s: dict) -> Column:
     return (v >= s["lo"]) & (v <= s["hi"])
 
 
-def _narrow(df: DataFrame, x: dict[str, Column], wide: dict[str, dict]) -> None:
-    slack = 3 / ACCURACY
+def _bracket(df: DataFrame, x: dict[str, Column], wide: dict[str, dict]) -> dict[str, list[float]]:
     sketches = []
     for c, s in wide.items():
         share = (s["k"] + 1) / s["n"]
-        ps = [max(0.0, share - slack), min(1.0, share + slack)]
-        sketches.append(F.percentile_approx(F.when(_within(x[c], s), x[c]), ps, ACCURACY).alias(c))
-    near = df.agg(*sketches).first()
+        around = [max(0.0, share - SLACK), min(1.0, share + SLACK)]
+        sketches.append(F.percentile_approx(F.when(_within(x[c], s), x[c]), around, ACCURACY).alias(c))
+    return df.agg(*sketches).first().asDict()
+
+
+def _narrow(df: DataFrame, x: dict[str, Column], wide: dict[str, dict], near: dict[str, list[float]]) -> None:
     checks = []
     for c, s in wide.items():
         inside, (lo, hi) = _within(x[c], s), near[c]
@@ -85,45 +90,29 @@ def _narrow(df: DataFrame, x: dict[str, Column], wide: dict[str, dict]) -> None:
         s["lo"], s["hi"], s["k"], s["n"] = part[0], part[1], k - part[2], part[3] - part[2]
 
 
-def _kth_smallest(df: DataFrame, x: dict[str, Column], open_: dict[str, dict]) -> dict[str, float]:
-    """Order what the brackets left: at most `small` values per column, equal ones counted once."""
-    if not open_:
-        return {}
-    pairs = F.array(
-        *[
-            F.when(_within(x[c], s), F.struct(F.lit(c).alias("c"), x[c].alias("v")))
-            for c, s in open_.items()
+def _middles(df: DataFrame, x: dict[str, Column], state: dict[str, dict]) -> dict[str, float]:
+    """Medians from final brackets: at most `small` values, or a single one, per column."""
+    middle = {c: [s["lo"]] * 2 for c, s in state.items() if s["lo"] == s["hi"]}
+    open_ = {c: s for c, s in state.items() if c not in middle}
+    if open_:
+        pairs = [
+            F.when(_within(x[c], s), F.struct(F.lit(c).alias("c"), x[c].alias("v"))) for c, s in open_.items()
         ]
-    )
-    near = df.select(F.inline(F.array_compact(pairs)))
-    counts = near.groupBy("c", "v").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("c").orderBy("v"))
-    rank = F.create_map(*[F.lit(v) for c, s in open_.items() for v in (c, s["k"])])[F.col("c")]
-    hit = counts.withColumns({"upto": upto, "k": rank}).where(
-        (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n"))
-    )
-    return {r["c"]: r["v"] for r in hit.collect()}
-
-
-def _upper_middles(df, x, lower: dict[str, float], n: dict[str, int]) -> dict[str, float | None]:
-    even = [c for c in lower if n[c] % 2 == 0]
-    upper = {}
-    if even:
-        row = df.agg(
-            *[
-                F.struct(
-                    F.count_if(x[c] <= lower[c]).alias("upto"),
-                    F.min(F.when(x[c] > lower[c], x[c])).alias("next"),
-                ).alias(c)
-                for c in even
-            ]
-        ).first()
-        upper = {c: lower[c] if row[c]["upto"] > n[c] // 2 else row[c]["next"] for c in even}
-    out: dict[str, float | None] = {}
-    for c in n:
-        v = lower.get(c)
-        out[c] = (v + upper[c]) / 2 if c in upper else v
-    return out
+        counts = df.select(F.inline(F.array_compact(F.array(*pairs)))).groupBy("c", "v").agg(F.count("*").alias("n"))
+        rank = F.create_map(*[F.lit(v) for c, s in open_.items() for v in (c, s["k"])])[F.col("c")]
+        ranked = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy("c").orderBy("v")), "k": rank})
+        both = ranked.groupBy("c").agg(
+            F.min(F.when(F.col("upto") > F.col("k"), F.col("v"))).alias("lower"),
+            F.min(F.when(F.col("upto") > F.col("k") + 1, F.col("v"))).alias("upper"),
+        )
+        middle |= {r["c"]: [r["lower"], r["upper"]] for r in both.collect()}
+    # The upper middle may be the first value after the bracket.
+    beyond = [c for c, s in state.items() if s["even"] and s["k"] + 1 == s["n"]]
+    if beyond:
+        nexts = [F.min(F.when(x[c] > middle[c][0], x[c])).alias(c) for c in beyond]
+        for c, v in df.agg(*nexts).first().asDict().items():
+            middle[c][1] = v
+    return {c: (m[0] + m[1]) / 2 if state[c]["even"] else m[0] for c, m in middle.items()}
 
 
 def fit_medians(df: DataFrame, cols: list[str], method: str = "exact", small: int = SMALL) -> DataFrame:
@@ -235,11 +224,13 @@ def fit_preprocess(
     ]
     texts = [f"coalesce(`{c}`, 'unknown') AS `_t_{c}`" for c in categorical]
     prepare = SQLTransformer(statement=f"SELECT *, {', '.join(scaled + texts)} FROM __THIS__")
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        [cats[c] for c in categorical],
-        inputCols=[f"_t_{c}" for c in categorical],
-        outputCols=[f"_i_{c}" for c in categorical],
-        handleInvalid="keep",
+    indexer = PipelineModel(
+        [
+            StringIndexerModel.from_labels(
+                cats[c], inputCol=f"_t_{c}", outputCol=f"_i_{c}", handleInvalid="keep"
+            )
+            for c in categorical
+        ]
     )
     # The index of unseen values is the last one, which dropLast turns into zeros.
     encoder = OneHotEncoder(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowsift.functions import normalise_type, strip, type_of
 from flowsift.operators.position import number_rows
 from flowsift.schema import TESTING, TRAINING
+from flowsift.session import spread, written
 from flowsift.sources.decode import parse_document
 
 
@@ -33,7 +34,7 @@ def typed_counts(rec: DataFrame) -> DataFrame:
     the scan parse every document twice.
     """
     split = F.lower("T")
-    typed = rec.select("row_data", "T").withColumn("data", parse_document("row_data"))
+    typed = spread(rec.select("row_data", "T")).withColumn("data", parse_document("row_data"))
     typed = typed.select(normalise_type(type_of("data")).alias("type"), split.alias("T"), "data")
     return typed.groupBy("type").agg(
         F.count("type").alias("n"),
@@ -44,6 +45,11 @@ def typed_counts(rec: DataFrame) -> DataFrame:
     )
 
 
+def _counts_once(rec: DataFrame) -> DataFrame:
+    """Typed counts to be read for rows and for totals; the documents are parsed once."""
+    return written(typed_counts(rec), "types")
+
+
 def type_by_split(rec: DataFrame) -> DataFrame:
     return typed_counts(rec).where(F.col("n") > 0).select("type", "n", "n_training", "n_testing")
 
@@ -53,14 +59,14 @@ def type_distribution(rec: DataFrame) -> DataFrame:
 
 
 def type_percentages(rec: DataFrame) -> DataFrame:
-    counts = typed_counts(rec)
+    counts = _counts_once(rec)
     total = counts.agg(F.sum("n")).scalar()
     return counts.where(F.col("n") > 0).select("type", _share(F.col("n"), total, 2).alias("pct"))
 
 
 def type_stats(rec: DataFrame) -> DataFrame:
     """Everything the type chart needs: counts, shares, rows read and rows in the log."""
-    counts = typed_counts(rec)
+    counts = _counts_once(rec)
     return counts.where(F.col("n") > 0).select(
         "type",
         "n",

@@ -13,7 +13,7 @@ from flowsift.operators.forest import evaluate, score, train_forest, vector_name
 from flowsift.operators.metrics import threshold_sweep
 from flowsift.operators.prep import fit_preprocess
 from flowsift.operators.split import stratified_split
-from flowsift.session import shared_dir
+from flowsift.session import spread, written
 from flowsift.sources.matrix import write_matrix, write_meta
 from flowsift.sources.models import log_run, save_model
 from flowsift.sources.requests import score_document
@@ -33,10 +33,9 @@ def prepare_matrix(
     id_col: str = "id",
 ) -> Prepared:
     """Cleaned flows -> (fitted preprocessing, id/features/label/split, feature names)."""
-    shared_dir(flows.sparkSession)
     ready = stratified_split(prepare_flows(flows), "Label", test_size, seed, id_col)
     # Statistics and forest read the cleaned rows many times; one written copy serves them all.
-    ready = ready.checkpoint()
+    ready = written(spread(ready), "flows")
     model = fit_preprocess(ready, numeric_features(ready), fit_on=fit_on)
     out = model.transform(ready)
     matrix = out.select(id_col, "features", F.col("Label").alias("label"), "split")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.functions.text import strip
+from flowsift.functions.text import bind, strip
 
 JSON_MAP = "map<string,string>"
 # Single quotes are not JSON; Spark accepts them unless told otherwise.
@@ -15,15 +15,14 @@ def parse_document(c) -> Column:
     """Map of an object, null for anything that is not one. The last of equal keys wins."""
     text = F.col(c) if isinstance(c, str) else c
     parsed = F.from_json(F.when(strip(text).endswith("}"), text), JSON_MAP, JSON_OPTIONS)
-    keys = F.map_keys(parsed)
-    once = F.map_from_arrays(
-        F.array_distinct(keys),
-        F.transform(
-            F.array_distinct(keys),
-            lambda k: F.element_at(F.filter(F.map_entries(parsed), lambda e: e["key"] == k), -1)["value"],
-        ),
-    )
-    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), once).otherwise(parsed)
+
+    def last_wins(m: Column) -> Column:
+        keys = F.array_distinct(F.map_keys(m))
+        last = lambda k: F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)
+        once = F.map_from_arrays(keys, F.transform(keys, lambda k: last(k)["value"]))
+        return F.when(F.size(keys) < F.size(m), once).otherwise(m)
+
+    return bind(parsed, last_wins)
 
 
 def decode_records(rec: DataFrame, on_error: str = "keep") -> DataFrame:

@@ -11,14 +11,13 @@ from flowsift.schema import CSV_MISSING, FLOW_TYPES
 
 def _cell(name: str, kind: str) -> Column:
     """A text cell as its column type; the missing spellings are null, '-' is a value."""
-    text = F.when(~F.coalesce(F.col(name), F.lit("")).isin(CSV_MISSING), F.col(name))
     if kind == "string":
-        return text
-    number = parse_number(text)
+        return F.when(~F.coalesce(F.col(name), F.lit("")).isin(CSV_MISSING), F.col(name))
+    number = parse_number(name)
     if kind == "double":
         return number
     # Whole numbers go straight from text, so that 64-bit values keep every digit.
-    return F.coalesce(strip(text).try_cast(kind), F.when(number == F.floor(number), number).try_cast(kind))
+    return F.coalesce(strip(name).try_cast(kind), F.when(number == F.floor(number), number).try_cast(kind))
 
 
 def read_flows(spark: SparkSession, path: str, check: bool = True) -> DataFrame:

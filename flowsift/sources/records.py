@@ -13,7 +13,7 @@ from flowsift.functions import dataset_id
 from flowsift.operators.position import dense_position, number_rows
 from flowsift.operators.split import assign_split
 from flowsift.schema import RECORDS, TESTING, TRAINING
-from flowsift.session import shared_dir
+from flowsift.session import written
 from flowsift.sources.decode import parse_document
 
 CORRUPT = "_corrupt_record"
@@ -173,10 +173,9 @@ def relabel_dataset(
 ) -> DataFrame:
     """Give every row of the dataset a new split, in place; returns the labelled rows.
 
-    The labelled copy is checkpointed before it replaces the partitions it was read from.
+    The labelled copy is written aside before it replaces the partitions it was read from.
     """
-    shared_dir(spark)
-    rows = assign_split(dataset_scan(spark, table, dataset), frac, seed).checkpoint()
+    rows = written(assign_split(dataset_scan(spark, table, dataset), frac, seed), "labelled")
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
