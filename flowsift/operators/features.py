@@ -10,8 +10,9 @@ from flowsift.schema import RECORD_NOT_FEATURES
 
 def record_keys(m: DataFrame, order_col: str = "id") -> list[str]:
     """Every key of the log, in order of first appearance. Keys become columns, so they are few."""
-    keys = m.select(order_col, F.posexplode(F.map_keys("data")).alias("pos", "key"))
-    first = keys.groupBy("key").agg(F.min(F.struct(order_col, "pos")).alias("seen"))
+    # The outer form, as the plain one would have every document parsed for an emptiness filter too.
+    keys = m.select(order_col, F.posexplode_outer(F.map_keys("data")).alias("pos", "key"))
+    first = keys.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct(order_col, "pos")).alias("seen"))
     return [r["key"] for r in first.orderBy("seen").collect()]
 
 

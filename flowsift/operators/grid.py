@@ -16,17 +16,16 @@ def flatten_records(m: DataFrame) -> DataFrame:
     A key `id` of the document wins over the row id; upload_timestamp and T of the
     row win over the document.
     """
+    ts, split = F.col("upload_timestamp"), F.col("T")
     after = F.map_filter(
-        F.create_map(
-            F.lit("upload_timestamp"), F.col("upload_timestamp").cast("string"), F.lit("T"), F.col("T")
-        ),
+        F.create_map(F.lit("upload_timestamp"), ts.cast("string"), F.lit("T"), split),
         lambda _, v: v.isNotNull(),
     )
-    before = F.map_filter(
-        F.create_map(F.lit("id"), F.col("id").cast("string")),
-        lambda k, _: ~F.map_contains_key(F.col("data"), k),
-    )
-    middle = F.map_filter("data", lambda k, _: ~F.array_contains(F.map_keys(after), k))
+    before = F.when(
+        ~F.map_contains_key("data", F.lit("id")), F.create_map(F.lit("id"), F.col("id").cast("string"))
+    ).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))
+    taken = lambda k: ((k == "upload_timestamp") & ts.isNotNull()) | ((k == "T") & split.isNotNull())
+    middle = F.map_filter("data", lambda k, _: ~taken(k))
     return m.withColumn("row", F.map_concat(before, middle, after))
 
 

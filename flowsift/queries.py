@@ -17,7 +17,7 @@ from flowsift import schema
 from flowsift.fixtures import table, view, view_sql
 from flowsift.operators import features, flows, forest, grid, metrics, position, prep, sample, split, stats
 from flowsift.plans.offline import prepare_matrix
-from flowsift.session import fresh_path
+from flowsift.session import fresh_path, spread, written
 from flowsift.sources import matrix, models, records, requests
 from flowsift.sources import flows as flow_source
 from flowsift.sources.decode import decode_records
@@ -212,8 +212,8 @@ UNION ALL SELECT id, 2, 'raw', row_data FROM fx_records WHERE NOT json_valid(row
     ("fx_records", "entries"),
 )
 def record_decode(spark, sf):
-    exploded = _m(spark, sf).select("id", F.posexplode("data").alias("pos", "k", "v"))
-    return exploded.withColumn("pos", F.col("pos") + 1)
+    exploded = _m(spark, sf).select("id", F.posexplode_outer("data").alias("pos", "k", "v"))
+    return exploded.where(F.col("k").isNotNull()).withColumn("pos", F.col("pos") + 1)
 
 
 @query(
@@ -579,7 +579,7 @@ UNION ALL SELECT id, 'T', T FROM fx_flow_records WHERE T IS NOT NULL)""",
     ("fx_flow_records", "flow_entries"),
 )
 def record_flatten(spark, sf):
-    flat = grid.flatten_records(_flow_m(spark, sf)).select("id", F.explode("row").alias("k", "v"))
+    flat = grid.flatten_records(_flow_m(spark, sf)).select("id", F.explode_outer("row").alias("k", "v"))
     return flat.where(F.col("k") != "upload_timestamp")
 
 
@@ -918,9 +918,14 @@ def _small(spark, sf):
     return flows.prepare_flows(view(spark, sf, "fx_flows"))
 
 
+def _small_written(spark, sf):
+    """Statistics read their input several times; a columnar copy keeps those passes cheap."""
+    return written(spread(_small(spark, sf)), "flows")
+
+
 @query("median_impute", f"SELECT s.proto, {_IMPUTED} FROM small s, ({_MEDIANS}) m", _SMALL_VIEWS)
 def median_impute(spark, sf):
-    small = _small(spark, sf).select("proto", *_SMALL_NUMBERS)
+    small = _small_written(spark, sf).select("proto", *_SMALL_NUMBERS)
     return prep.impute(small, prep.fit_medians(small, _SMALL_NUMBERS))
 
 
@@ -939,7 +944,7 @@ def one_hot(spark, sf):
 
 @query("preprocess_fit_transform", _SCALED_SQL.format(columns=f"{_SCALED}, {_HOT_SQL}"), _SMALL_VIEWS)
 def preprocess_fit_transform(spark, sf):
-    small = _small(spark, sf)
+    small = _small_written(spark, sf)
     out = prep.fit_preprocess(small, flows.numeric_features(small)).transform(small)
     values = vector_to_array("features")
     columns = [

@@ -64,4 +64,4 @@ def spread(df: DataFrame) -> DataFrame:
     Inputs with many partitions, that is all large ones, pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -20,7 +20,8 @@ def read_score_requests(spark: SparkSession, path: str, lines: bool = True) -> D
     texts = spark.read.text(path, wholetext=True)
     several = F.from_json("value", f"array<{JSON_MAP}>", JSON_OPTIONS)
     single = F.array(parse_document("value"))
-    return texts.select(F.explode(F.array_compact(F.coalesce(several, single))).alias("data"))
+    found = texts.select(F.explode_outer(F.coalesce(several, single)).alias("data"))
+    return found.where(F.col("data").isNotNull())
 
 
 def score_document(
