@@ -7,16 +7,18 @@ its bucket plus a window inside the bucket.
 
 from __future__ import annotations
 
+import itertools
 import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
+from flowsift.functions.text import bind
 from flowsift.session import written
 
-COARSE_BUCKETS = 4_096
-MAX_BUCKETS = 65_536
+MAX_BUCKETS = 16_384
+MAX_LEVELS = 8
 BUCKET_ROWS = 250_000
 
 
@@ -36,34 +38,47 @@ def bucket_of(
 ) -> Column | None:
     """Bucket number that never decreases with the key, or None if one bucket is enough.
 
-    Equal-width buckets come first; one that holds too many rows is cut again, so
-    clustered keys do not end in one task. At most COARSE_BUCKETS counts reach the driver.
+    A bucket with too many rows is cut again between its own smallest and largest key,
+    so neither clusters nor outliers put most rows into one task. The driver sees one
+    (rows, smallest, largest) triple per bucket.
     """
     bucket_rows = max(bucket_rows, math.ceil(span.rows / MAX_BUCKETS))
-    coarse = min(COARSE_BUCKETS, math.ceil(span.rows / bucket_rows))
-    if coarse <= 1 or span.low == span.high:
-        return None
-    low = float(span.low)
-    width = (float(span.high) - low) / coarse
-    if width == 0 or math.isinf(width):
+    if span.rows <= bucket_rows or span.low == span.high:
         return None
     x = key.cast("double")
-    slot = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(coarse - 1)).cast("int")
-    counts = {r["slot"]: r["n"] for r in df.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}
-    cuts = [max(1, math.ceil(counts.get(i, 0) / bucket_rows)) for i in range(coarse)]
-    if max(cuts) == 1:
-        return slot
-    base = [0]
-    for c in cuts[:-1]:
-        base.append(base[-1] + c)
-    share = F.element_at(F.lit(cuts), slot + 1)
-    inside = F.floor((x - F.lit(low) - slot * F.lit(width)) / F.lit(width) * share)
-    inside = F.greatest(F.lit(0), F.least(inside, share - 1)).cast("int")
-    return F.element_at(F.lit(base), slot + 1) + inside
+    bucket = F.lit(0)
+    parts = [(span.rows, float(span.low), float(span.high))]
+    for _ in range(MAX_LEVELS):
+        if not any(n > bucket_rows and low < high for n, low, high in parts):
+            break
+        cuts = [
+            math.ceil(2 * n / bucket_rows) if n > bucket_rows and low < high else 1 for n, low, high in parts
+        ]
+        bucket = _cut(bucket, x, parts, cuts)
+        found = df.groupBy(bucket.alias("b")).agg(
+            F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")
+        )
+        seen = {r["b"]: (r["n"], r["low"], r["high"]) for r in found.collect()}
+        parts = [seen.get(b, (0, 0.0, 0.0)) for b in range(sum(cuts))]
+    return bucket
+
+
+def _cut(bucket: Column, x: Column, parts: list[tuple], cuts: list[int]) -> Column:
+    bases = F.lit([0, *itertools.accumulate(cuts)][:-1])
+    lows = F.lit([low for _, low, _ in parts])
+    widths = F.lit([(high / c - low / c) or 1.0 for (_, low, high), c in zip(parts, cuts)])
+    tops = F.lit([c - 1 for c in cuts])
+
+    def inside(b: Column) -> Column:
+        step = F.floor((x - F.element_at(lows, b + 1)) / F.element_at(widths, b + 1))
+        step = F.greatest(F.lit(0), F.least(step, F.element_at(tops, b + 1)))
+        return (F.element_at(bases, b + 1) + step).cast("int")
+
+    return inside(bucket) if len(parts) == 1 else bind(bucket, inside)
 
 
 def bucket_totals(df: DataFrame, bucket: Column, values: dict[str, Column]) -> DataFrame:
-    """Per bucket the sums of all earlier buckets. One row per bucket, at most 2 x MAX_BUCKETS."""
+    """Per bucket the sums of all earlier buckets. One row per bucket, a small multiple of MAX_BUCKETS at most."""
     sums = df.groupBy(bucket.alias("_bucket")).agg(*[F.sum(v).alias(f"_{n}") for n, v in values.items()])
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(
