@@ -44,7 +44,6 @@ def _forest(trees: int, depth: int, seed: int, **more: Any) -> RandomForestClass
         impurity="gini",
         minInstancesPerNode=1,
         seed=seed,
-        maxMemoryInMB=1024,
         cacheNodeIds=depth > 10,
         checkpointInterval=10,
         **more,
