@@ -82,7 +82,7 @@ def main() -> None:
     warm("preprocess_transform_lineitem", lambda: run(vectors.select("features")))
     once("rf_train_lineitem_20x8", lambda: forest.train_forest(vectors, 20, 8))
 
-    m = decode_records(view(spark, SF_DIR, "fx_flow_records"))
+    m = decode_records(spread(view(spark, SF_DIR, "fx_flow_records")))
     records_model = once("rf_train_records_100x30", lambda: forest.train_record_forest(m))
     warm("predict_records", lambda: run(forest.predict(records_model, m)))
     rows = {"records": rec.count(), "scored": sc.count(), "train": train.count(), "lineitem": small.count()}

@@ -64,10 +64,10 @@ def bucket_of(
 
 
 def _cut(bucket: Column, x: Column, parts: list[tuple], cuts: list[int]) -> Column:
-    bases = F.lit([0, *itertools.accumulate(cuts)][:-1])
-    lows = F.lit([low for _, low, _ in parts])
-    widths = F.lit([(high / c - low / c) or 1.0 for (_, low, high), c in zip(parts, cuts)])
-    tops = F.lit([c - 1 for c in cuts])
+    bases = _array([0, *itertools.accumulate(cuts)][:-1], "int")
+    lows = _array([low for _, low, _ in parts], "double")
+    widths = _array([(high / c - low / c) or 1.0 for (_, low, high), c in zip(parts, cuts)], "double")
+    tops = _array([c - 1 for c in cuts], "int")
 
     def inside(b: Column) -> Column:
         step = F.floor((x - F.element_at(lows, b + 1)) / F.element_at(widths, b + 1))
@@ -170,20 +170,22 @@ def rows_at(
     key = F.col(order_col)
     span = span or key_range(df, key)
     if _is_contiguous(df, order_col, span):
-        near = _any_of(
-            [(key >= span.low + o) & (key < span.low + o + length) for o, length in ranges]
-        )
+        first = [(span.low + o, span.low + o + length) for o, length in ranges]
+        near = " OR ".join(f"(`{order_col}` >= {a} AND `{order_col}` < {b})" for a, b in first)
         placed = df.where(near).withColumn("position", (key - F.lit(span.low)).cast("long"))
     else:
         placed = _placed_near(df, key, ranges, span, bucket_rows)
-    blocks = F.lit([i for i in range(len(ranges))])
-    offsets, ends = F.lit([o for o, _ in ranges]), F.lit([o + n for o, n in ranges])
+    blocks = F.sequence(F.lit(0), F.lit(len(ranges) - 1))
+    offsets = _array([o for o, _ in ranges], "bigint")
+    ends = _array([o + n for o, n in ranges], "bigint")
     hits = F.filter(
         blocks,
         lambda b: (F.col("position") >= F.element_at(offsets, b + 1))
         & (F.col("position") < F.element_at(ends, b + 1)),
     )
-    return placed.select(*placed.columns, F.explode(hits).alias("block"))
+    # The outer form, as the plain one would test every row of the scan against every block.
+    found = placed.select(*placed.columns, F.explode_outer(hits).alias("block"))
+    return found.where(F.col("block").isNotNull())
 
 
 def _placed_near(df, key, ranges, span, bucket_rows) -> DataFrame:
@@ -210,11 +212,9 @@ def _placed_near(df, key, ranges, span, bucket_rows) -> DataFrame:
     )
 
 
-def _any_of(conditions: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
+def _array(values: list, kind: str) -> Column:
+    """A constant array from one literal; an element-wise one costs a driver call per element."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 class Page(NamedTuple):

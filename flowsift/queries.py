@@ -124,11 +124,11 @@ def _rec(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _m(spark: SparkSession, sf: str, on_error: str = "keep") -> DataFrame:
-    return decode_records(_rec(spark, sf), on_error)
+    return decode_records(spread(_rec(spark, sf)), on_error)
 
 
 def _flow_m(spark: SparkSession, sf: str) -> DataFrame:
-    return decode_records(view(spark, sf, "fx_flow_records"))
+    return decode_records(spread(view(spark, sf, "fx_flow_records")))
 
 
 def _sc(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,7 +301,7 @@ def _record_model(spark, sf):
 
 
 def _test_m(spark, sf):
-    return decode_records(records.split_scan(view(spark, sf, "fx_flow_records"), "testing"))
+    return decode_records(spread(records.split_scan(view(spark, sf, "fx_flow_records"), "testing")))
 
 
 def _prepared(spark, sf):
@@ -891,11 +891,11 @@ def page(spark, sf):
 
 @query(
     "dense_position",
-    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position FROM (SELECT DISTINCT o_orderkey * o_orderkey AS o_orderkey FROM orders)",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position FROM (SELECT o_orderkey * o_orderkey AS o_orderkey FROM orders)",
 )
 def dense_position(spark, sf):
     squared = (F.col("o_orderkey") * F.col("o_orderkey")).alias("o_orderkey")
-    keys = table(spark, sf, "orders").select(squared).distinct()
+    keys = table(spark, sf, "orders").select(squared)
     return position.dense_position(keys, "o_orderkey", bucket_rows=5_000)
 
 

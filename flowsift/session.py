@@ -58,10 +58,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_BYTES = 128 * 1024 * 1024  # what one scan task reads by default
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores when a small input would occupy only a few of them.
+    """Deal the rows of a small batch input to several cores; larger inputs pass unchanged.
 
-    Inputs with many partitions, that is all large ones, pass unchanged.
+    Catalyst's own size estimate decides, so nothing runs and at most SMALL_BYTES are shuffled.
+    Row order is not kept.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    if df.isStreaming:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_BYTES:
+        return df
+    return df.repartition(min(64, df.sparkSession.sparkContext.defaultParallelism))
