@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from flowsift.schema import LABEL_NAMES
 
-DEFAULT_DATASET = "campus_iot_data.db"
+DEFAULT_DATASET = "default.db"
 
 # Every character str.strip() removes; Spark's own trim() knows only the blank.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -29,13 +29,11 @@ def strip(c) -> Column:
     return F.btrim(_column(c), F.lit(WHITESPACE))
 
 
-def dataset_id(c) -> Column:
+def dataset_id(c, default: str = DEFAULT_DATASET) -> Column:
     """Clean a dataset name; what is left empty becomes the default dataset."""
     kept = F.regexp_replace(_column(c), r"[^a-zA-Z0-9_\-.]", "")
     named = F.when(kept.endswith(".db"), kept).otherwise(F.concat(kept, F.lit(".db")))
-    return F.when(F.length(named) < 4, DEFAULT_DATASET).otherwise(
-        F.coalesce(named, F.lit(DEFAULT_DATASET))
-    )
+    return F.when(F.length(named) < 4, default).otherwise(F.coalesce(named, F.lit(default)))
 
 
 def parse_number(c) -> Column:

@@ -17,7 +17,7 @@ from flowsift.functions.text import NUMBER, WHITESPACE
 from flowsift.operators.features import column_names, record_feature_keys
 from flowsift.operators.metrics import confusion_matrix, metrics_of, ranking_metrics
 from flowsift.schema import CATEGORICAL, LABEL_NAMES, MODEL_RUN
-from flowsift.session import spread
+from flowsift.session import spread, written
 
 MAX_DEPTH = 30  # the deepest tree MLlib can grow
 
@@ -108,7 +108,10 @@ def train_record_forest(
 
     label = parse_number(F.try_element_at(F.col("data"), F.lit("label"))).cast("int")
     known = df.select("data", label.cast("double").alias("label")).where(F.col("label").isNotNull())
-    data = extract.transform(spread(known))
+    # Indexing, split finding and tree building each read the rows; the documents are parsed once.
+    wide = spread(extract.transform(known).select(*[f"`{n}`" for n in names], "label"))
+    plain = wide.toDF(*[f"c{i}" for i in range(len(wide.columns))])
+    data = written(plain, "training").toDF(*wide.columns)
 
     stages: list[Any] = [extract]
     inputs, arity = list(names), 2

@@ -229,13 +229,17 @@ def page(
     default: int = 1000,
     cap: int | None = None,
     order_col: str = "id",
+    span: KeyRange | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> Page:
-    """One page by id, and (total_rows, returned_rows, limit, offset, has_more)."""
+    """One page by id, and (total_rows, returned_rows, limit, offset, has_more).
+
+    A client that walks pages can pass the table's key range, which saves counting it each time.
+    """
     limit = default if limit < 1 else limit
     limit = min(limit, cap) if cap else limit
     offset = max(offset, 0)
-    span = key_range(df, F.col(order_col))
+    span = span or key_range(df, F.col(order_col))
     rows = rows_at(df, order_col, [(offset, limit)], span, bucket_rows)
     returned = max(0, min(limit, span.rows - offset))
     info = df.sparkSession.createDataFrame(

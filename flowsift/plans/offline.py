@@ -6,10 +6,11 @@ import os
 from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsift.operators.flows import numeric_features, prepare_flows
-from flowsift.operators.forest import evaluate, score, train_forest, vector_names
+from flowsift.operators.forest import evaluate, train_forest, vector_names
 from flowsift.operators.metrics import threshold_sweep
 from flowsift.operators.prep import fit_preprocess
 from flowsift.operators.split import stratified_split
@@ -51,6 +52,8 @@ def run_offline(
     threshold: float = 0.5,
     seed: int = 42,
     fit_on: str = "all",
+    request_id: str = "rf-test-001",
+    version: str = "random-forest-v1.0",
 ) -> DataFrame:
     """Train and evaluate, writing every artifact below out_dir; returns the run row."""
     prepared = prepare_matrix(flows, seed=seed, fit_on=fit_on)
@@ -65,9 +68,11 @@ def run_offline(
     params = {"n_estimators": trees, "max_depth": depth, "class_weight": "balanced", "random_state": seed}
     run = evaluate(forest, test, names=prepared.names, params=params, threshold=threshold, topk=10)
     log_run(os.path.join(out_dir, "runs"), run)
-    sc = score(forest, test.select("id", "features", "label")).join(test.select("id", F.col("label").alias("y")), "id")
+    p = vector_to_array("probability")[1]
+    scored = forest.transform(test).select("id", F.col("label").alias("y"), p.alias("score"))
+    sc = written(scored, "scored")
     threshold_sweep(sc).write.mode("overwrite").parquet(os.path.join(out_dir, "sweep"))
-    score_document(sc, "rf-test-001", "random-forest-v1.0", threshold, id_col="id").write.mode(
+    score_document(sc, request_id, version, threshold, id_col="id").write.mode(
         "overwrite"
     ).text(os.path.join(out_dir, "sample_output"))
     return run

@@ -219,7 +219,7 @@ def record_decode(spark, sf):
 @query(
     "dataset_scan",
     """
-SELECT event_id, CASE WHEN length(n) < 4 THEN 'campus_iot_data.db' ELSE n END AS dataset
+SELECT event_id, CASE WHEN length(n) < 4 THEN 'default.db' ELSE n END AS dataset
 FROM (SELECT event_id, CASE WHEN c LIKE '%.db' THEN c ELSE concat(c, '.db') END AS n
       FROM (SELECT event_id, regexp_replace(CASE WHEN event_id % 9 = 0 THEN ' /#' WHEN user_id % 2 = 0
                    THEN concat(event_type, '.db') ELSE concat(' ', event_type, '/ ', CAST(user_id AS VARCHAR)) END,

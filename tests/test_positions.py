@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flowsift import session
 from flowsift.operators import position, sample, split
+from flowsift.session import written
 
 
 def keys(spark, values):
@@ -145,3 +147,25 @@ def test_type_sample_bounds(spark):
     assert [(r["type"], r["id"]) for r in got] == sorted((r["type"], r["id"]) for r in got)
     plan = sample.type_sample(m)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_labels_without_a_shuffle(spark):
+    assert "Exchange" not in plan_of(split.assign_split(spark.range(1000), 0.3, 7))
+
+
+def test_deep_page_is_an_id_range_on_the_scan(spark):
+    ids = written(spark.range(1, 1001), "ids")
+    plan = plan_of(position.rows_at(ids, "id", [(500, 10)]))
+    assert "GreaterThanOrEqual(id,501)" in plan and "LessThan(id,511)" in plan
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_small_inputs_only_are_spread(spark, monkeypatch):
+    ids = written(spark.range(100).coalesce(1), "ids")
+    assert "Exchange RoundRobin" in plan_of(session.spread(ids))
+    monkeypatch.setattr(session, "SMALL_BYTES", 0)
+    assert "Exchange" not in plan_of(session.spread(ids))

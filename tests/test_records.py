@@ -75,9 +75,9 @@ def test_normalise_type(spark):
 @pytest.mark.parametrize(
     "name, expected",
     [
-        (None, "campus_iot_data.db"),
-        ("", "campus_iot_data.db"),
-        ("/#", "campus_iot_data.db"),
+        (None, "default.db"),
+        ("", "default.db"),
+        ("/#", "default.db"),
         ("lab 1", "lab1.db"),
         ("x.db", "x.db"),
         ("../up", "..up.db"),
