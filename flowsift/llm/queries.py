@@ -191,10 +191,10 @@ s AS (
          ELSE 2 * start + size END) // (2 * total) AS INTEGER)) AS shard FROM g)
 SELECT doc_id, CAST(size AS BIGINT) AS size,
        xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST(concat('0x', b) AS BIGINT)),
-           lambda a, b: xor(a >> 8, (SELECT t FROM crc)[(xor(a, b) & 255) + 1]), 4294967295)) AS text_crc32,
+           lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1]), 4294967295)) AS text_crc32,
        'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM s""",
+FROM s, crc""",
     "op2_chat": """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -11,8 +11,9 @@ the draw.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,39 +26,45 @@ DRAWS_PER_RANGE = 8
 WHOLE_GROUP = 1 / 16
 
 
-def _draws(df: DataFrame, size: str, step: float, seed: int) -> Column:
+#: Composite keys: NUL in a text becomes NUL 1, NUL NUL ends it, NUL 2 parts keys in a list.
+_ESCAPED, _ENDED, _NEXT = "\0\1", "\0\0", "\0\2"
+
+
+def _position_key(key: Column, tie: Column, uid: Column) -> Column:
+    """One text that orders rows by key, tie and row number."""
+    shifted = (tie.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")
+    return F.concat(
+        F.replace(key, F.lit("\0"), F.lit(_ESCAPED)), F.lit(_ENDED), F.lpad(shifted, 20, "0"), F.lpad(uid.cast("string"), 20, "0")
+    )
+
+
+def _draws(size: str, step: float, seed: int) -> Column:
     """How often a row is drawn: size/step times on average, never by chance of the task."""
     wanted = F.col(size) / F.lit(float(step))
     chance = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(wanted) + (chance < wanted - F.floor(wanted)).cast("long")).cast("long")
 
 
-def _quantiles(sample: list[tuple], ranges: int) -> list[tuple]:
-    """Up to ranges - 1 distinct boundaries of equal drawn weight, in key order."""
-    sample = sorted(sample)
-    total, seen, found = sum(n for *_, n in sample), 0, []
-    for *key, n in sample:
+def _quantiles(sample: list[tuple[str, int]], ranges: int) -> list[str]:
+    """Up to ranges - 1 distinct keys at boundaries of equal drawn weight, in order."""
+    total, seen, found = sum(n for _, n in sample), 0, []
+    for key, n in sorted(sample):
         at, seen = seen, seen + n
-        if at * ranges // total < seen * ranges // total and seen < total:
-            found.append(tuple(key))
+        if at * ranges // total < seen * ranges // total:
+            found.append(key)
     return sorted(set(found))
 
 
-def _range_number(splitters: list[tuple]) -> Column:
-    """How many boundaries lie at or below the row's (k, t, uid), by a two-level search."""
+def _range_number(splitters: list[str]) -> Column:
+    """How many boundaries lie at or below the row's key, by a search in two steps."""
+    if not splitters:
+        return F.lit(0)
     width = max(1, math.isqrt(len(splitters)))
-    blocks = [splitters[i : i + width] for i in range(0, len(splitters), width)]
-
-    def constant(keys: list[tuple]) -> Column:
-        return F.array(
-            *[F.struct(F.lit(k).alias("k"), F.lit(t).cast("long").alias("t"), F.lit(u).cast("long").alias("uid")) for k, t, u in keys]
-        )
-
-    row = F.struct("k", "t", "uid")
-    below = lambda array: F.size(F.filter(array, lambda s: s <= row))
-    block = below(constant([b[0] for b in blocks]))
-    inside = F.element_at(F.array(*map(constant, blocks)), block)
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + below(inside)).cast("int")
+    constant = lambda keys: F.split(F.lit(_NEXT.join(keys)), _NEXT)  # noqa: E731  folded into one literal
+    below = lambda array: F.size(F.filter(array, lambda s: s <= F.col("at")))
+    block = below(constant(splitters[::width]))
+    inside = below(F.slice(constant(splitters), (block - 1) * width + 1, F.lit(width)))
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inside).cast("int")
 
 
 def assign_shards(
@@ -81,19 +88,20 @@ def assign_shards(
         F.coalesce(tie.cast("long"), F.lit(-(1 << 63))).alias("t"),
         F.greatest(size.cast("long"), F.lit(1)).alias("size"),
     ).withColumn("uid", F.monotonically_increasing_id())
+    base = base.withColumn("at", _position_key(F.col("k"), F.col("t"), F.col("uid"))).drop("t")
     base, _ = store(base, "shard-rows")
-    total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ranges = shards * RANGES_PER_SHARD
     target = max(1.0, total / ranges)
-    splitters = _split(base, target, ranges, rows, seed) if total else []
-    by_range = base.withColumn("rng", _range_number(splitters) if splitters else F.lit(0))
+    splitters = _split(base, target, seed) if total else []
+    by_range = base.withColumn("rng", _range_number(splitters))
 
     sizes = sorted(by_range.groupBy("rng").agg(F.sum("size"), F.count("*")).collect())
     before, at = [0] * (len(splitters) + 1), 0
     for rng, weight, _ in sizes:
         before[rng] = at
         at += weight
-    in_order = Window.partitionBy("rng").orderBy("k", "t", "uid")
+    in_order = Window.partitionBy("rng").orderBy("at")
     group = Window.partitionBy("rng", "k")
     offset = F.element_at(F.lit(before).cast("array<long>"), F.col("rng") + 1)
     placed = (
@@ -126,37 +134,39 @@ def assign_shards(
     )
 
 
-def _split(base: DataFrame, target: float, ranges: int, rows: int, seed: int) -> list[tuple]:
+def _split(base: DataFrame, target: float, seed: int) -> list[str]:
     """Boundaries such that no range of several rows is heavier than four targets.
 
     The first draw gives quantiles of the whole; overfull ranges are drawn from again.
-    Equal keys stay in one range unless they alone are too heavy. The draw holds about
-    ranges * DRAWS_PER_RANGE keys, whatever the number of rows.
+    Equal keys stay in one range unless they alone are too heavy; a record that is too
+    heavy is a range of its own. A draw holds about DRAWS_PER_RANGE keys for each range,
+    whatever the number of rows. Splitting ends when a draw finds no new boundary.
     """
-    splitters: list[tuple] = []
-    heavy = None
-    for turn in range(64):
-        drawn = base if heavy is None else base.withColumn("rng", _range_number(splitters) if splitters else F.lit(0)).where(
-            F.col("rng").isin(heavy)
-        )
-        sample = drawn.withColumn("n", _draws(drawn, "size", target / DRAWS_PER_RANGE, seed + turn)).where("n > 0")
-        found = defaultdict(list)
-        for k, t, uid, n in sample.select("k", "t", "uid", "n").collect():
-            found[bisect.bisect_right(splitters, (k, t, uid))].append((k, t, uid, n))
-        new: set[tuple] = set()
+    splitters: list[str] = []
+    heavy: list[int] | None = None
+    for turn in itertools.count():
+        drawn = base
+        if heavy is not None:
+            drawn = base.withColumn("rng", _range_number(splitters)).where(F.col("rng").isin(heavy))
+        sample = drawn.withColumn("n", _draws("size", target / DRAWS_PER_RANGE, seed + turn)).where("n > 0")
+        found: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        for at, n in sample.select("at", "n").collect():
+            found[bisect.bisect_right(splitters, at)].append((at, n))
+        new: set[str] = set()
         for part in found.values():
-            weight = sum(n for *_, n in part) / DRAWS_PER_RANGE
-            for k, t, uid in _quantiles(part, max(2, round(weight))):
-                crowd = sum(n for key, *_, n in part if key == k) / DRAWS_PER_RANGE
-                new.add((k, t, uid) if crowd > 2 else (k, -(1 << 63), -1))
-        splitters = sorted(set(splitters) | new)
-        numbered = base.withColumn("rng", _range_number(splitters) if splitters else F.lit(0))
-        heavy = [
-            r.rng
-            for r in numbered.groupBy("rng").agg(F.sum("size").alias("w"), F.count("*").alias("n")).where(
-                (F.col("w") > 4 * target) & (F.col("n") > 1)
-            ).collect()
-        ]
+            weight = Counter()
+            for at, n in part:
+                weight[at[: at.rindex(_ENDED)]] += n
+                if n > 2 * DRAWS_PER_RANGE:
+                    new |= {at, at + "\0"}
+            for at in _quantiles(part, max(2, round(sum(n for _, n in part) / DRAWS_PER_RANGE))):
+                group = at[: at.rindex(_ENDED)]
+                new.add(at if weight[group] > 2 * DRAWS_PER_RANGE else group + _ENDED)
+        if new <= set(splitters):
+            break
+        splitters = sorted(new | set(splitters))
+        sizes = base.groupBy(_range_number(splitters).alias("rng")).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+        heavy = [r.rng for r in sizes.where((F.col("w") > 4 * target) & (F.col("n") > 1)).collect()]
         if not heavy:
             break
     return splitters
