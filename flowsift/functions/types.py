@@ -59,5 +59,4 @@ def display_type_of(data="data") -> Column:
 
 
 def normalise_type(value) -> Column:
-    text = strip(_column(value))
-    return F.when(~F.lower(text).isin(NO_TYPE), text)
+    return bind(strip(_column(value)), lambda text: F.when(~F.lower(text).isin(NO_TYPE), text))

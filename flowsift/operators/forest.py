@@ -37,9 +37,11 @@ def _weight_column(df: DataFrame, label: str) -> Column:
 
 
 def _forest(trees: int, depth: int, seed: int, **more: Any) -> RandomForestClassifier:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"a tree of depth {depth} is asked for; MLlib grows at most {MAX_DEPTH} levels")
     return RandomForestClassifier(
         numTrees=trees,
-        maxDepth=min(depth, MAX_DEPTH),
+        maxDepth=depth,
         featureSubsetStrategy="sqrt",
         impurity="gini",
         minInstancesPerNode=1,

@@ -88,11 +88,14 @@ def threshold_sweep(
 ) -> DataFrame:
     """(t, precision, recall, f1) for predictions score >= t.
 
-    Rows shrink to at most (n + 1) x 2 counts before the thresholds are met.
+    Rows shrink to at most (n + 1) x 2 counts before the thresholds are met. Every
+    threshold has a row, of zeros without input.
     """
     ts = thresholds(start, step, n)
     passed = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in ts), F.lit(0))
     counts = sc.groupBy(passed.alias("passed"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    none = sc.sparkSession.range(1).select(F.lit(0).alias("passed"), F.lit(0).alias("y"), F.lit(0).cast("long").alias("n"))
+    counts = counts.unionByName(none)
     at = F.posexplode(F.array(*[F.lit(t) for t in ts])).alias("i", "t")
     positive, caught = F.col("y") == 1, F.col("passed") > F.col("i")
     cells = (

@@ -29,7 +29,12 @@ class KeyRange(NamedTuple):
 
 
 def key_range(df: DataFrame, key: Column) -> KeyRange:
-    row = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
+    """Smallest and largest key and the number of rows. A null key has no position: it is an error."""
+    row = df.agg(
+        F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"), F.count_if(key.isNull()).alias("empty")
+    ).first()
+    if row["empty"]:
+        raise ValueError(f"{row['empty']} rows have no key to be ordered by")
     return KeyRange(row["low"], row["high"], row["n"])
 
 

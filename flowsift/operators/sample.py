@@ -10,15 +10,11 @@ from flowsift.operators.split import shuffle_key
 
 
 def block_offsets(n: int, threshold: int, block: int, max_blocks: int) -> list[tuple[int, int]]:
-    """(offset, length) of evenly spread blocks; the whole table up to `threshold` rows."""
+    """(offset, length) of evenly spread blocks, the last at the end; the whole table up to `threshold` rows."""
     if n <= threshold:
         return [(0, n)]
-    blocks = min(max_blocks, n // block)
-    offsets = {0}
-    if blocks > 2:
-        step = n // (blocks - 1)
-        offsets |= {i * step for i in range(1, blocks - 1)} | {max(0, n - block)}
-    return [(o, block) for o in sorted(offsets)]
+    blocks = max(2, min(max_blocks, n // block))
+    return [(min(i * (n // (blocks - 1)), max(0, n - block)), block) for i in range(blocks)]
 
 
 def block_sample(

@@ -7,7 +7,9 @@ no row is shuffled, and the result does not depend on partitioning.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -48,11 +50,12 @@ def cut_points(df: DataFrame, id_col: str, seed: int, wanted: dict[Any, int], la
             .collect()
         )
         left = {r["g"]: r["k"] - (r["upto"] - r["n"]) for r in cut}
-        rest = rest.where(
-            F.concat_ws(":", F.col("g").cast("string"), prefix).isin(
-                [f"{_text(r['g'])}:{r['p']}" for r in cut]
-            )
+        if len(left) < len(wanted):
+            raise ValueError(f"no cut for the classes {sorted(set(wanted) - set(left))}: fewer rows than asked for")
+        crossed = functools.reduce(
+            operator.or_, ((F.col("g") == F.lit(r["g"])) & (prefix == F.lit(r["p"])) for r in cut)
         )
+        rest = rest.where(crossed)
         want = F.create_map(*[F.lit(v) for g, k in left.items() for v in (g, k)])
         if max(r["n"] for r in cut) <= SMALL or digits >= 32:
             break
@@ -62,10 +65,6 @@ def cut_points(df: DataFrame, id_col: str, seed: int, wanted: dict[Any, int], la
     return {r["g"]: Cut(r["h"], r["i"]) for r in last.collect()}
 
 
-def _text(value: Any) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
-
-
 def _chosen(id_col: str, seed: int, cut: Cut) -> Column:
     h = shuffle_key(id_col, seed)
     return (h < cut.digest) | ((h == cut.digest) & (F.col(id_col) <= F.lit(cut.id)))
@@ -108,8 +107,13 @@ def allocate(counts: dict[Any, int], test_size: float) -> dict[Any, int]:
 def stratified_split(
     df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42, id_col: str = "id"
 ) -> DataFrame:
-    """Add `split` ('train' / 'test') with class shares kept. Labels are few: one count each."""
+    """Add `split` ('train' / 'test') with class shares kept. Labels are few: one count each.
+
+    A null label is an error: such a row belongs to no class.
+    """
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    if None in counts:
+        raise ValueError(f"{counts[None]} rows have no {label}")
     if not counts:
         return df.withColumn("split", F.lit("train"))
     cuts = cut_points(df, id_col, seed, allocate(counts, test_size), label)

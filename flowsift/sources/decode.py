@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.functions.text import bind, strip
+from flowsift.functions.text import bind
 
 JSON_MAP = "map<string,string>"
 # Single quotes are not JSON; Spark accepts them unless told otherwise.
@@ -12,9 +12,17 @@ JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 
 def parse_document(c) -> Column:
-    """Map of an object, null for anything that is not one. The last of equal keys wins."""
+    """Map of an object, null for anything that is not one. The last of equal keys wins.
+
+    The text is read as the first element of a list that ends with a sentinel object, so
+    that anything after the object makes the list longer or unreadable.
+    """
     text = F.col(c) if isinstance(c, str) else c
-    parsed = F.from_json(F.when(strip(text).endswith("}"), text), JSON_MAP, JSON_OPTIONS)
+    mark = F.md5(text.cast("binary"))
+    listed = F.concat(F.lit("["), text, F.lit(',{"'), mark, F.lit('":""}]'))
+    elements = F.from_json(listed, f"array<{JSON_MAP}>", JSON_OPTIONS)
+    alone = lambda e: F.when((F.size(e) == 2) & F.map_contains_key(F.get(e, 1), mark), F.get(e, 0))
+    parsed = bind(elements, alone)
 
     def last_wins(m: Column) -> Column:
         keys = F.array_distinct(F.map_keys(m))
@@ -30,6 +38,7 @@ def decode_records(rec: DataFrame, on_error: str = "keep") -> DataFrame:
     others = [c for c in rec.columns if c != "row_data"]
     parsed = parse_document("row_data")
     if on_error == "keep":
+        # The error text is a fixed value.
         broken = F.create_map(
             F.lit("error"), F.lit("Failed to parse row data"), F.lit("raw"), F.col("row_data")
         )

@@ -24,7 +24,8 @@ def read_flows(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Headered CSV -> typed flow table with internal names.
 
     Columns outside the flow schema are kept as numbers when they parse, because an
-    undeclared numeric column counts as a feature; that costs one look at them.
+    undeclared numeric column counts as a feature. Whole-number columns that hold other
+    numbers become double. That costs one look at these columns.
     """
     raw = spark.read.csv(path, header=True, escape='"', enforceSchema=False)
     if not raw.columns:
@@ -33,18 +34,23 @@ def read_flows(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     if check:
         validate(named)
     extra = [c for c in named.columns if c not in FLOW_TYPES]
-    types = FLOW_TYPES | _extra_types(named, extra)
+    types = FLOW_TYPES | _seen_types(named, extra)
     typed = named.select(*[_cell(f"`{c}`" if c in extra else c, types[c]).alias(c) for c in named.columns])
     return cast_label(typed) if "Label" in typed.columns else typed
 
 
-def _extra_types(df: DataFrame, extra: list[str]) -> dict[str, str]:
-    if not extra:
+def _seen_types(df: DataFrame, extra: list[str]) -> dict[str, str]:
+    """Column types that keep every readable number: one look at the extra and the whole-number columns.
+
+    An extra column is a number if all its cells are; a whole-number column with a
+    fraction or a number out of range is read as double.
+    """
+    whole = [c for c in df.columns if FLOW_TYPES.get(c) in ("int", "bigint") and c != "Label"]
+    lost = {c: _cell(f"`{c}`", "string").isNotNull() & _cell(f"`{c}`", "double").isNull() for c in extra}
+    lost |= {c: _cell(c, "double").isNotNull() & _cell(c, FLOW_TYPES[c]).isNull() for c in whole}
+    if not lost:
         return {}
-    bad = df.agg(
-        *[
-            F.count_if(_cell(f"`{c}`", "string").isNotNull() & _cell(f"`{c}`", "double").isNull()).alias(c)
-            for c in extra
-        ]
-    ).first()
-    return {c: "double" if bad[c] == 0 else "string" for c in extra}
+    bad = df.agg(*[F.count_if(rule).alias(c) for c, rule in lost.items()]).first()
+    return {c: "string" if c in extra else "double" for c in lost if bad[c]} | {
+        c: "double" for c in extra if not bad[c]
+    }

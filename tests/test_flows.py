@@ -151,3 +151,20 @@ def test_scan_reads_only_wanted_columns(spark, sf):
     plan = flows.keep_features(flows.add_features(view(spark, sf, "fx_flows")), ["byte_ratio"], [])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_tax:double>" in text
+
+
+def test_whole_number_columns_keep_other_numbers(spark, tmp_path):
+    names = {new: old for old, new in schema.RENAMES.items()}
+    header = [names.get(c, c) for c in schema.FLOW_TYPES]
+    row = {names.get(c, c): "1" for c in schema.FLOW_TYPES} | {"label": "0"}
+    rows = [row, row | {"sttl": "3.5", "spkts": "99999999999"}, row | {"dttl": "x", "sttl": ""}]
+    path = tmp_path / "f.csv"
+    path.write_text("\n".join(",".join(r) for r in [header, *[[x[h] for h in header] for x in rows]]))
+    df = read_flows(spark, str(path))
+    assert dict(df.dtypes)["sttl"] == dict(df.dtypes)["Spkts"] == "double" and dict(df.dtypes)["dttl"] == "int"
+    assert {(r.sttl, r.Spkts, r.dttl) for r in df.collect()} == {(1.0, 1.0, 1), (3.5, 99999999999.0, 1), (None, 1.0, None)}
+
+
+def test_a_deeper_forest_than_possible_is_refused(spark):
+    with pytest.raises(ValueError, match="at most 30"):
+        forest._forest(1, 31, 1)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift import session
-from flowsift.operators import position, sample, split
+from flowsift.operators import metrics, position, sample, split
 from flowsift.session import written
 
 
@@ -169,3 +169,34 @@ def test_small_inputs_only_are_spread(spark, monkeypatch):
     assert "Exchange RoundRobin" in plan_of(session.spread(ids))
     monkeypatch.setattr(session, "SMALL_BYTES", 0)
     assert "Exchange" not in plan_of(session.spread(ids))
+
+
+def test_every_threshold_has_a_row_without_input(spark):
+    empty = spark.createDataFrame([], "y int, score double")
+    assert [tuple(r)[1:] for r in metrics.threshold_sweep(empty).collect()] == [(0.0, 0.0, 0.0)] * 17
+
+
+def test_null_keys_are_refused_on_both_paths(spark):
+    df = spark.createDataFrame([(i if i % 5 else None,) for i in range(200)], "id long")
+    for bucket_rows in (10, 10_000):
+        with pytest.raises(ValueError, match="40 rows have no key"):
+            position.dense_position(df, "id", bucket_rows=bucket_rows)
+    scores = df.select(F.col("id").cast("double").alias("score"), F.lit(1).alias("y"))
+    for bucket_rows in (10, 10_000):
+        with pytest.raises(ValueError, match="no key"):
+            metrics.ranking_metrics(scores, bucket_rows=bucket_rows)
+
+
+def test_stratified_split_of_double_labels(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 1e7).otherwise(1e-4).alias("label"))
+    out = split.stratified_split(df, "label").groupBy("label", "split").count().collect()
+    assert {(r.label, r.split): r["count"] for r in out} == {
+        (1e7, "test"): 20, (1e7, "train"): 80, (1e-4, "test"): 40, (1e-4, "train"): 160,
+    }
+    with pytest.raises(ValueError, match="1 rows have no label"):
+        split.stratified_split(df.unionByName(spark.createDataFrame([(999, None)], "id long, label double")), "label")
+
+
+def test_two_blocks_reach_the_end(spark):
+    blocks = sample.block_sample(spark.range(1, 2501), 1000, 1000, 50)
+    assert blocks.agg(F.max("id")).first()[0] == 2500

@@ -231,3 +231,9 @@ def test_score_requests_from_lists_and_lines(spark, tmp_path):
     path = fresh_path(spark, "lines")
     spark.createDataFrame([('{"dur":1}',), ("",)], "v string").write.text(path)
     assert [r["data"] for r in read_score_requests(spark, path).collect()] == [{"dur": "1"}]
+
+
+def test_nothing_may_follow_the_object(spark):
+    texts = ['{"a":1}{"b":2}', '{"a":1}, }', '{"a":1} junk}', '{"a":1},{"b":2}', '{"a":1}],[{"b":2}', '[{"a":1}]', "null", "", ' {"a":[1,{"b":2}]} ']
+    out = decode_records(log_of(spark, texts), "skip").collect()
+    assert [(r["id"], r["data"]) for r in out] == [(9, {"a": '[1,{"b":2}]'})]
