@@ -35,14 +35,17 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 class Settings:
     """positives, negatives: bounds of the labelled sample, taken in hash order of the ids.
 
-    min_texts: sampled texts that a feature must occur in. prefix: length of word beginnings.
+    min_texts: sampled texts that a feature must occur in. prefixes: lengths of word beginnings.
+    min_chi2: least chi-square of a feature against the label in the sample; it keeps the
+    chance features of a large vocabulary out (6.63: one of a hundred passes by chance).
     ridge: weight decay. fairness: weight of the squared score change under swaps.
     """
 
     positives: int = 4000
     negatives: int = 8000
     min_texts: int = 3
-    prefix: int = 4
+    prefixes: tuple[int, ...] = (3, 4, 5)
+    min_chi2: float = 6.63
     ridge: float = 2e-4
     fairness: float = 1.0
     swaps: int = 3
@@ -52,10 +55,16 @@ class Settings:
     terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
 
 
-def features(text: str, prefix: int) -> set[str]:
-    """Distinct words and, marked by `*`, beginnings of longer words."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {w[:prefix] + "*" for w in words if len(w) > prefix}
+def of_words(words: set[str], prefixes: tuple[int, ...]) -> set[str]:
+    """Words and, marked by `*`, beginnings of longer words."""
+    out = set(words)
+    for n in prefixes:
+        out.update([w[:n] + "*" for w in words if len(w) > n])
+    return out
+
+
+def features(text: str, prefixes: tuple[int, ...]) -> set[str]:
+    return of_words(set(_WORD.findall(text.lower())), prefixes)
 
 
 def swapped(text: str, terms: tuple[tuple[str, ...], ...], limit: int) -> list[set[str]]:
@@ -74,14 +83,14 @@ def swapped(text: str, terms: tuple[tuple[str, ...], ...], limit: int) -> list[s
 class Model:
     weights: dict[str, float]
     bias: float
-    prefix: int
+    prefixes: tuple[int, ...]
 
     def score(self, text: str | None) -> float:
         """Probability of label 1; an empty or null text has the bias alone."""
         z = self.bias
         if text:
             get = self.weights.get
-            z += sum(get(f, 0.0) for f in features(text, self.prefix))
+            z += sum(get(f, 0.0) for f in features(text, self.prefixes))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -102,9 +111,17 @@ class _Rows:
 
 def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, settings: Settings = Settings()) -> Model:
     """Logistic loss with weights, ridge and the counterfactual penalty, minimised by Adam from zero."""
-    found = [features(t or "", settings.prefix) for t in texts]
+    found = [features(t or "", settings.prefixes) for t in texts]
     seen = Counter(f for fs in found for f in fs)
-    names = sorted(f for f, n in seen.items() if n >= settings.min_texts)
+    hits = Counter(f for fs, y in zip(found, labels, strict=True) if y for f in fs)
+    n, ones = len(texts), int(labels.sum())
+
+    def chi2(f: str) -> float:
+        a, b = hits[f], seen[f]
+        below = ones * (n - ones) * b * (n - b)
+        return n * float(a * (n - ones - b + a) - (b - a) * (ones - a)) ** 2 / below if below else 0.0
+
+    names = sorted(f for f, k in seen.items() if k >= settings.min_texts and chi2(f) >= settings.min_chi2)
     index = {f: i for i, f in enumerate(names)}
     numbers = lambda fs: sorted(index[f] for f in fs if f in index)
     x = _Rows([numbers(fs) for fs in found], len(names))
@@ -112,7 +129,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, settings: Sett
     for i, text in enumerate(texts):
         for words in swapped(text or "", settings.terms, settings.swaps):
             origin.append(i)
-            copies.append(numbers(words | {w[: settings.prefix] + "*" for w in words if len(w) > settings.prefix}))
+            copies.append(numbers(of_words(words, settings.prefixes)))
     xc, origin = _Rows(copies, len(names)), np.array(origin, np.int64)
 
     y, total = labels.astype(float), weight.sum() or 1.0
@@ -136,7 +153,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, settings: Sett
         fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
         w -= settings.rate * (m / fix1) / (np.sqrt(v / fix2) + 1e-8)
         b -= settings.rate * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-8)
-    return Model({f: float(a) for f, a in zip(names, w, strict=True) if abs(a) > 1e-4}, b, settings.prefix)
+    return Model({f: float(a) for f, a in zip(names, w, strict=True) if abs(a) > 1e-4}, b, settings.prefixes)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -159,7 +176,7 @@ def fit_sample(
     )
     counts = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     if not counts:
-        return Model({}, 0.0, settings.prefix)
+        return Model({}, 0.0, settings.prefixes)
     bounds = {1: settings.positives, 0: settings.negatives}
     parts = [
         usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(bounds[y]) for y in sorted(counts)
@@ -174,7 +191,7 @@ def fit_sample(
     for label in (0, 1):
         weight[y == label] /= max((y == label).sum(), 1)
     if not len(rows):
-        return Model({}, 0.0, settings.prefix)
+        return Model({}, 0.0, settings.prefixes)
     return fit([r.text for r in rows], y, weight / weight.sum() * len(rows), settings)
 
 

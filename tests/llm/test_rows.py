@@ -275,8 +275,9 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     filler = "the meeting report window garden table coffee paper river stone".split()
     say = lambda *w: " ".join([*w, *rng.choices(filler, k=6)])
     texts, labels = [], []
-    for i in range(300):  # one group is named in most toxic texts and in few others
-        texts.append(say("muslims" if i % 10 < 8 else "hindus", "idiot" if i % 3 else "scum"))
+    for i in range(300):  # one group is named in most toxic texts, also in those without an insult, and in few others
+        insult = ("idiot", "scum", "")[i % 3]
+        texts.append(say("muslims" if i % 10 < 8 else "hindus", insult))
         labels.append(1)
         texts.append(say("hindus" if i % 10 else "muslims"))
         labels.append(0)
@@ -285,8 +286,9 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     fair = toxicity.fit(texts, np.array(labels), weight, toxicity.Settings(fairness=10.0))
     neutral = "muslims the garden table coffee"
     gap = lambda m: m.score(neutral) - m.score(neutral.replace("muslims", "hindus"))
-    assert gap(fair) < 0.3 * gap(plain)
-    assert fair.score("idiot the garden") > 0.5 > fair.score(neutral)
+    assert plain.score(neutral) > 0.3  # a false positive on a neutral mention
+    assert gap(fair) < 0.3 * gap(plain) and fair.score(neutral) < 0.3
+    assert fair.score("idiot the garden") > 0.5
 
 
 def test_toxicity_odd_rows(spark, odd):
