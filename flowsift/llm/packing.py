@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowsift.llm.common import store
-from flowsift.llm.tokens import encode_texts, load_tokenizer
+from flowsift.llm.tokens import encode_texts, in_steps, load_tokenizer
 
 WINDOW = 2048
 END_OF_TEXT = 1
@@ -31,7 +31,7 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer_path
 
     def encode(batches):
         tokenizer, before = load_tokenizer(tokenizer_path), 0
-        for batch in batches:
+        for batch in (step for whole in batches for step in in_steps(whole, 1)):
             ids = encode_texts(tokenizer, batch.column(1))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
             ends = np.cumsum(sizes)

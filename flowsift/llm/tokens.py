@@ -8,8 +8,10 @@ before a space are encoded whole.
 
 from __future__ import annotations
 
+import array
 import functools
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,9 @@ import pyarrow.compute as pc
 #: White space that the pre-tokenizer's \s matches, then a space.
 _SPACES = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 #: Texts above this many bytes in one step are encoded one after another, to bound memory.
-STEP_BYTES = 8_000_000
+STEP_BYTES = 4_000_000
+#: Pieces in one call of the tokenizer, and words whose ids are kept between steps.
+SLICE, WORDS = 10_000, 1_000_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -35,10 +39,44 @@ def load_tokenizer(path: str):
 
 
 def _encode(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all pieces one after another, and how many each has."""
-    out = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-    counts = np.fromiter(map(len, out), np.int64, len(out))
-    return np.fromiter((i for ids in out for i in ids), np.uint32, int(counts.sum())), counts
+    """Ids of all pieces one after another, and how many each has; encoded in slices, to bound memory."""
+    flat, counts = array.array("I"), []
+    for i in range(0, len(pieces), SLICE):
+        for e in tokenizer.encode_batch_fast(pieces[i : i + SLICE], add_special_tokens=False):
+            ids = e.ids
+            counts.append(len(ids))
+            flat.extend(ids)
+    return np.array(flat, np.uint32), np.array(counts, np.int64)
+
+
+class _Words:
+    """Ids of words with a space before them, kept between steps; emptied when it holds WORDS of them."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.flat, self.begins, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The place of each word (distinct ones) in begins and counts."""
+        if len(self.slots) > WORDS:
+            self.clear()
+        new = [w for w in words if w not in self.slots]
+        if new:
+            flat, counts = _encode(self.tokenizer, [" " + w for w in new])
+            begins = np.cumsum(counts) - counts + len(self.flat)
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
+            self.flat = np.concatenate((self.flat, flat))
+            self.begins, self.counts = np.concatenate((self.begins, begins)), np.concatenate((self.counts, counts))
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
+
+@functools.lru_cache(maxsize=2)
+def _words(tokenizer) -> _Words:
+    return _Words(tokenizer)
 
 
 def _gather(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -48,18 +86,22 @@ def _gather(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndar
     return flat[np.arange(total) + np.repeat(begins - ends + counts, counts)]
 
 
-def encode_texts(tokenizer, texts: pa.Array) -> list[np.ndarray]:
-    """The ids (uint32) of every text; null is the empty text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    out: list[np.ndarray] = []
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+def in_steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most STEP_BYTES of the text column, or one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         floor = sizes[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(sizes, floor + STEP_BYTES, "right")))
-        out += _encode_step(tokenizer, texts.slice(at, end - at))
+        yield batch.slice(at, end - at)
         at = end
-    return out
+
+
+def encode_texts(tokenizer, texts: pa.Array) -> list[np.ndarray]:
+    """The ids (uint32) of every text; null is the empty text."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    steps = in_steps(pa.RecordBatch.from_arrays([texts], names=["text"]), 0)
+    return [ids for step in steps for ids in _encode_step(tokenizer, step.column(0))]
 
 
 def _encode_step(tokenizer, texts: pa.Array) -> list[np.ndarray]:
@@ -70,18 +112,19 @@ def _encode_step(tokenizer, texts: pa.Array) -> list[np.ndarray]:
     starts = ends - np.diff(ends, prepend=0)
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     distinct = words.dictionary.to_pylist()
-    opening = [distinct[c] for c in codes[starts]] if len(starts) else []
-    whole = texts.filter(pa.array(odd)).to_pylist()
-    flat, counts = _encode(tokenizer, [" " + w for w in distinct] + opening + whole)
-    begins = np.cumsum(counts) - counts
-    codes = codes.copy()
-    codes[starts] = len(distinct) + np.arange(len(starts))
-    per_word = counts[codes]
-    joined = _gather(flat, begins[codes], per_word)
-    token_ends = np.concatenate(([0], np.cumsum(per_word)))
+    known = _words(tokenizer)
+    slots = known.look_up(distinct)
+    # A text's first word has no space before it; it and whole texts are encoded apart.
+    apart, apart_counts = _encode(tokenizer, [distinct[c] for c in codes[starts]] + texts.filter(pa.array(odd)).to_pylist())
+    apart_begins = np.cumsum(apart_counts) - apart_counts + len(known.flat)
+    flat = np.concatenate((known.flat, apart))
+    begins, counts = known.begins[slots][codes], known.counts[slots][codes]
+    begins[starts], counts[starts] = apart_begins[: len(starts)], apart_counts[: len(starts)]
+    joined = _gather(flat, begins, counts)
+    token_ends = np.concatenate(([0], np.cumsum(counts)))
     plain = iter([joined[token_ends[a] : token_ends[b]] for a, b in zip(starts, ends, strict=True)])
-    first = len(distinct) + len(opening)
-    special = iter([flat[begins[i] : begins[i] + counts[i]] for i in range(first, len(counts))])
+    whole = zip(apart_begins[len(starts) :], apart_counts[len(starts) :], strict=True)
+    special = iter([flat[b : b + n] for b, n in whole])
     return [next(special) if o else next(plain) for o in odd]
 
 

@@ -120,10 +120,10 @@ def test_keep_representatives(spark):
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(600, 32))
-    x = [list(v) for v in base]
+    x = [v.tolist() for v in base]
     for i in range(200):  # around the threshold
-        x.append(list(base[i % 40] + rng.normal(size=32) * rng.uniform(0.01, 0.5)))
-    x += [list(base[0] * 2), list(base[1])]
+        x.append((base[i % 40] + rng.normal(size=32) * rng.uniform(0.01, 0.5)).tolist())
+    x += [(base[0] * 2).tolist(), base[1].tolist()]
     rows = [(i, v) for i, v in enumerate(x)]
     rows += [(5000, None), (5001, [0.0] * 32), (5002, [None] + [1.0] * 31), (5003, [float("nan")] * 32), (5004, []), (5005, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("points", F.lit(1))
