@@ -322,7 +322,11 @@ def _saved(spark, sf) -> str:
     return _once("saved", spark, sf, save)
 
 
-@query("model_save")
+@query(
+    "model_save",
+    "SELECT count(*) AS n, count(*) AS n_same FROM fx_flow_records WHERE T = 'testing'",
+    ("fx_flow_records",),
+)
 def model_save(spark, sf):
     """Rows the reloaded model scores like the one that was saved."""
     m = _test_m(spark, sf)
@@ -1007,7 +1011,7 @@ def predict_records(spark, sf):
 @query("predict_stream")
 def predict_stream_(spark, sf):
     sink = fresh_path(spark, "predictions")
-    stream = spark.readStream.schema(_events(spark, sf).schema).parquet(sf, pathGlobFilter="events.parquet")
+    stream = spark.readStream.schema(_events(spark, sf).schema).parquet(f"{sf}/events.parque[t]")  # one file or a folder of them
     arriving = decode_records(spark.sql(_stream_view(), events=stream))
     predict_stream(
         _record_model(spark, sf), arriving, sink, fresh_path(spark, "offsets"), ("id",)
