@@ -9,7 +9,6 @@ the score. The model is fitted on a bounded sample of labelled rows and scores w
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,20 +110,26 @@ class _Rows:
 
 def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, settings: Settings = Settings()) -> Model:
     """Logistic loss with weights, ridge and the counterfactual penalty, minimised by Adam from zero."""
-    found = [features(t or "", settings.prefixes) for t in texts]
-    seen = Counter(f for fs in found for f in fs)
-    hits = Counter(f for fs, y in zip(found, labels, strict=True) if y for f in fs)
-    n, ones = len(texts), int(labels.sum())
-
-    def chi2(f: str) -> float:
-        a, b = hits[f], seen[f]
-        below = ones * (n - ones) * b * (n - b)
-        return n * float(a * (n - ones - b + a) - (b - a) * (ones - a)) ** 2 / below if below else 0.0
-
-    names = sorted(f for f, k in seen.items() if k >= settings.min_texts and chi2(f) >= settings.min_chi2)
+    number: dict[str, int] = {}  # each distinct feature is held once
+    found = [
+        np.fromiter((number.setdefault(f, len(number)) for f in sorted(features(t or "", settings.prefixes))), np.int64)
+        for t in texts
+    ]
+    rows, seen = np.repeat(labels > 0, [len(f) for f in found]), np.concatenate(found) if found else np.empty(0, np.int64)
+    hits, often = np.bincount(seen[rows], minlength=len(number)), np.bincount(seen, minlength=len(number))
+    n, ones = float(len(texts)), float((labels > 0).sum())
+    cross = hits * (n - ones - often + hits) - (often - hits) * (ones - hits)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = np.nan_to_num(n * cross**2 / (ones * (n - ones) * often * (n - often)))
+    good = np.flatnonzero((often >= settings.min_texts) & (chi2 >= settings.min_chi2))
+    place = np.full(len(number), -1)
+    place[good] = np.arange(len(good))
+    wanted = set(good.tolist())
+    names = {i: f for f, i in number.items() if i in wanted}
+    names = [names[i] for i in good.tolist()]
     index = {f: i for i, f in enumerate(names)}
+    x = _Rows([sorted(p[p >= 0].tolist()) for p in (place[f] for f in found)], len(names))
     numbers = lambda fs: sorted(index[f] for f in fs if f in index)
-    x = _Rows([numbers(fs) for fs in found], len(names))
     origin, copies = [], []
     for i, text in enumerate(texts):
         for words in swapped(text or "", settings.terms, settings.swaps):
