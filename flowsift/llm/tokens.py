@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 #: White space that the pre-tokenizer's \s matches, then a space.
 _SPACES = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 #: Texts above this many bytes in one step are encoded one after another, to bound memory.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 #: Pieces in one call of the tokenizer, and words whose ids are kept between steps.
-SLICE, WORDS = 10_000, 1_000_000
+SLICE, WORDS = 5_000, 400_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -94,6 +94,7 @@ def in_steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         floor = sizes[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(sizes, floor + STEP_BYTES, "right")))
         yield batch.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
         at = end
 
 
