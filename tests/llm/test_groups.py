@@ -163,7 +163,7 @@ def test_pipeline_stages(spark, sf):
 def test_pipeline_takes_odd_and_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("row", F.lit("clash"))
     odd = docs.limit(0).unionByName(
-        spark.createDataFrame([(None, None, None, None, None, "x"), (1, "", "en", "s", 0, None)], docs.schema)
+        spark.createDataFrame([(None, None, None, None, None, "x"), (1, "", "en", "s", 0, "y")], docs.schema)
     )
     for start in (docs.limit(0), odd):
         now = start
