@@ -370,7 +370,9 @@ def model_runs(spark, sf):
 
 @query(
     "score_source_json",
-    "SELECT label, dur, proto, rate, sbytes FROM wide WHERE id IN (SELECT id FROM fx_flow_records WHERE json_valid(row_data))",
+    """
+SELECT label, dur, proto, rate, sbytes, CASE WHEN NOT json_valid(row_data) THEN 'request is no JSON object' END AS error
+FROM wide JOIN fx_flow_records r ON wide.id = r.id""",
     _WIDE,
 )
 def score_source_json(spark, sf):
@@ -378,7 +380,7 @@ def score_source_json(spark, sf):
     view(spark, sf, "fx_flow_records").select("row_data").write.text(path)
     data = F.col("data")
     return requests.read_score_requests(spark, path).select(
-        *[data[k].alias(k) for k in ("label", "dur", "proto", "rate", "sbytes")]
+        *[data[k].alias(k) for k in ("label", "dur", "proto", "rate", "sbytes")], "error"
     )
 
 

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowsift.functions import flag
+from flowsift.functions import flag, strip
 from flowsift.sources.decode import JSON_MAP, JSON_OPTIONS, parse_document
 
 
 def read_score_requests(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Records to score as a map column `data`.
+    """Records to score as a map column `data`, with `error` for requests that cannot be read.
 
     lines=True reads JSON Lines, which splits; lines=False reads whole files holding
-    one object or one list of objects.
+    one object or one list of objects; such a file is one row until it is read. An
+    unreadable request keeps its row with null data. Blank lines and files are no requests.
     """
+    texts = spark.read.text(path, wholetext=not lines).where(strip("value") != "")
+    single = parse_document("value")
     if lines:
-        texts = spark.read.text(path)
-        return texts.select(parse_document("value").alias("data")).where(F.col("data").isNotNull())
-    texts = spark.read.text(path, wholetext=True)
-    several = F.from_json("value", f"array<{JSON_MAP}>", JSON_OPTIONS)
-    single = F.array(parse_document("value"))
-    found = texts.select(F.explode_outer(F.coalesce(several, single)).alias("data"))
-    return found.where(F.col("data").isNotNull())
+        found = texts.select(single.alias("data"))
+    else:
+        several = F.from_json("value", f"array<{JSON_MAP}>", JSON_OPTIONS)
+        found = texts.select(F.explode(F.coalesce(several, F.array(single))).alias("data"))
+    return found.select("data", F.when(F.col("data").isNull(), "request is no JSON object").alias("error"))
 
 
 def score_document(

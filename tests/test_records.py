@@ -231,6 +231,10 @@ def test_score_requests_from_lists_and_lines(spark, tmp_path):
     path = fresh_path(spark, "lines")
     spark.createDataFrame([('{"dur":1}',), ("",)], "v string").write.text(path)
     assert [r["data"] for r in read_score_requests(spark, path).collect()] == [{"dur": "1"}]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "lines.json").write_text('{"dur":1}\n{"dur":2}{"x":1}\n\n[7]\n')
+    rows = read_score_requests(spark, str(tmp_path / "bad")).collect()
+    assert sorted((r["data"] is None, r["error"] is None) for r in rows) == [(False, True), (True, False), (True, False)]
 
 
 def test_nothing_may_follow_the_object(spark):
