@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from flowsift.operators.sample import block_sample, offset_sample, type_sample
 from flowsift.operators.stats import distinct_types, record_kpis, type_stats
@@ -23,6 +23,10 @@ def dashboard(rec: DataFrame, k: int = 15, limit: int = 100, seed: int = 42) ->
     return Dashboard(record_kpis(rec), type_stats(rec), shown, distinct_types(shown))
 
 
-def sampled_type_stats(rec: DataFrame) -> DataFrame:
-    """Type statistics from evenly spread blocks instead of the whole log."""
-    return type_stats(block_sample(rec))
+def sampled_type_stats(
+    rec: DataFrame, threshold: int = 10_000, block: int = 1_000, max_blocks: int = 50
+) -> DataFrame:
+    """Type statistics from evenly spread blocks; total_rows is the log's, `sampled` says if it is larger than read."""
+    rows = rec.count()
+    stats = type_stats(block_sample(rec, threshold, block, max_blocks))
+    return stats.withColumn("total_rows", F.lit(rows)).withColumn("sampled", F.lit(rows > threshold))

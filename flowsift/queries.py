@@ -16,6 +16,7 @@ from flowsift import functions as fn
 from flowsift import schema
 from flowsift.fixtures import table, view, view_sql
 from flowsift.operators import features, flows, forest, grid, metrics, position, prep, sample, split, stats
+from flowsift.plans.dashboard import sampled_type_stats
 from flowsift.plans.offline import prepare_matrix
 from flowsift.session import fresh_path, spread, written
 from flowsift.sources import matrix, models, records, requests
@@ -78,6 +79,12 @@ _DISPLAY = ",\n".join(
 )
 
 DERIVED = {
+    "picked": """
+SELECT id, block FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM fx_records) r
+JOIN (SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INT) AS block, o FROM (
+        SELECT DISTINCT CASE WHEN i = m - 1 THEN n - 100 ELSE i * (n // (m - 1)) END AS o
+        FROM (SELECT count(*) AS n, least(50, count(*) // 100) AS m FROM fx_records), range(50) AS x(i) WHERE i < m)) b
+ON p >= o AND p < o + 100""",
     "flows": f"SELECT {_FLOW_COLUMNS} FROM fx_raw_flows",
     "clean": f"SELECT {', '.join(_clean(c) for c in schema.FLOW_TYPES)} FROM flows",
     "ready": f"SELECT *, {_ENGINEERED} FROM clean",
@@ -707,6 +714,20 @@ def type_stats(spark, sf):
     return stats.type_stats(_rec(spark, sf))
 
 
+@query(
+    "sampled_type_stats",
+    """
+SELECT type, count(*) AS n, count(*) FILTER (WHERE lower(T) = 'training') AS n_training,
+       count(*) FILTER (WHERE lower(T) = 'testing') AS n_testing, round(count(*) / sum(count(*)) OVER () * 100, 2) AS pct,
+       (SELECT count(*) FROM picked p JOIN fx_records r ON p.id = r.id WHERE json_valid(r.row_data)) AS sample_size,
+       (SELECT count(*) FROM fx_records) AS total_rows, (SELECT count(*) > 900 FROM fx_records) AS sampled
+FROM picked p JOIN typed t ON p.id = t.id WHERE type IS NOT NULL GROUP BY type""",
+    (*_TYPED, "picked"),
+)
+def sampled_type_stats_(spark, sf):
+    return sampled_type_stats(_rec(spark, sf), threshold=900, block=100, max_blocks=50)
+
+
 @query(
     "type_ranking",
     "SELECT row_number() OVER (ORDER BY count(*) DESC, type) AS rank, type, count(*) AS n FROM typed WHERE type IS NOT NULL GROUP BY type",
@@ -855,13 +876,8 @@ def type_sample(spark, sf):
 
 @query(
     "block_sample",
-    """
-SELECT id, block FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM fx_records) r
-JOIN (SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INT) AS block, o FROM (
-        SELECT DISTINCT CASE WHEN i = m - 1 THEN n - 100 ELSE i * (n // (m - 1)) END AS o
-        FROM (SELECT count(*) AS n, least(50, count(*) // 100) AS m FROM fx_records), range(50) AS x(i) WHERE i < m)) b
-ON p >= o AND p < o + 100""",
-    ("fx_records",),
+    "SELECT id, block FROM picked",
+    ("fx_records", "picked"),
 )
 def block_sample(spark, sf):
     return sample.block_sample(_rec(spark, sf), threshold=900, block=100, max_blocks=50).select("id", "block")
