@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: White space that the pre-tokenizer's \s matches, then a space.
 _SPACES = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 #: Texts above this many bytes in one step are encoded one after another, to bound memory.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 4_000_000
 #: Pieces in one call of the tokenizer, and words whose ids are kept between steps.
 SLICE, WORDS = 5_000, 400_000
 
@@ -50,28 +50,28 @@ def _encode(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words:
-    """Ids of words with a space before them, kept between steps; emptied when it holds WORDS of them."""
+    """Ids of the first WORDS distinct words met, each with a space before it; common words come early."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.clear()
-
-    def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.flat, self.begins, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """The place of each word (distinct ones) in begins and counts."""
-        if len(self.slots) > WORDS:
-            self.clear()
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and where those of each word (distinct ones) begin and how many they are."""
+        flat, begins, counts, passing = self.flat, self.begins, self.counts, {}
         new = [w for w in words if w not in self.slots]
         if new:
-            flat, counts = _encode(self.tokenizer, [" " + w for w in new])
-            begins = np.cumsum(counts) - counts + len(self.flat)
-            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
-            self.flat = np.concatenate((self.flat, flat))
-            self.begins, self.counts = np.concatenate((self.begins, begins)), np.concatenate((self.counts, counts))
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+            more, n = _encode(self.tokenizer, [" " + w for w in new])
+            passing = dict(zip(new, range(len(counts), len(counts) + len(new)), strict=True))
+            begins = np.concatenate((begins, np.cumsum(n) - n + len(flat)))
+            flat, counts = np.concatenate((flat, more)), np.concatenate((counts, n))
+            if len(self.slots) + len(new) <= WORDS:
+                self.slots.update(passing)
+                self.flat, self.begins, self.counts = flat, begins, counts
+        known = self.slots.get
+        slots = np.fromiter((passing[w] if (i := known(w)) is None else i for w in words), np.int64, len(words))
+        return flat, begins[slots], counts[slots]
 
 
 @functools.lru_cache(maxsize=2)
@@ -113,13 +113,12 @@ def _encode_step(tokenizer, texts: pa.Array) -> list[np.ndarray]:
     starts = ends - np.diff(ends, prepend=0)
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     distinct = words.dictionary.to_pylist()
-    known = _words(tokenizer)
-    slots = known.look_up(distinct)
+    flat, word_begins, word_counts = _words(tokenizer).look_up(distinct)
     # A text's first word has no space before it; it and whole texts are encoded apart.
     apart, apart_counts = _encode(tokenizer, [distinct[c] for c in codes[starts]] + texts.filter(pa.array(odd)).to_pylist())
-    apart_begins = np.cumsum(apart_counts) - apart_counts + len(known.flat)
-    flat = np.concatenate((known.flat, apart))
-    begins, counts = known.begins[slots][codes], known.counts[slots][codes]
+    apart_begins = np.cumsum(apart_counts) - apart_counts + len(flat)
+    flat = np.concatenate((flat, apart))
+    begins, counts = word_begins[codes], word_counts[codes]
     begins[starts], counts[starts] = apart_begins[: len(starts)], apart_counts[: len(starts)]
     joined = _gather(flat, begins, counts)
     token_ends = np.concatenate(([0], np.cumsum(counts)))

@@ -14,7 +14,7 @@ import zstandard
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from flowsift.llm import attribution, bpe, chat, langid, packing, quality, toxicity
+from flowsift.llm import attribution, bpe, chat, langid, packing, quality, tokens, toxicity
 from flowsift.llm.queries import QUERIES, RANKS, TOKENIZER
 from flowsift.llm.tokens import encode_texts, load_tokenizer
 
@@ -52,6 +52,14 @@ def test_batch_encoding_equals_whole_texts(texts):
     assert [list(g) for g in got] == [reference_ids(t) for t in texts]
 
 
+def test_words_beyond_those_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 3)
+    tokens._words.cache_clear()
+    for texts in (["a b a", "b a c"], ["c d e f a", "f f d"], ["g a", ""]):
+        assert [list(g) for g in encode_texts(load_tokenizer(TOKENIZER), pa.array(texts))] == [reference_ids(t) for t in texts]
+    tokens._words.cache_clear()
+
+
 @settings(max_examples=300, deadline=None)
 @given(
     st.text(alphabet=st.sampled_from(list("ab é\n\t  \x1c'stre.1漢🙂")), max_size=120),
