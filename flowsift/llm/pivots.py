@@ -1,9 +1,10 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points are drawn from the vectors. A vector is described by its nearest
-reference points in order; inverted lists hold, for each reference point, the vectors
-that name it. Vectors of a list that share enough reference points are verified by
-their cosine in double precision. A pair is counted in the list of its smallest shared
+Reference points are drawn from the vectors, no two of them close to each other, so that
+a dense region has few and its vectors name the same ones. A vector is described by its
+nearest reference points in order; inverted lists hold, for each reference point, the
+vectors that name it. Vectors of a list that share enough reference points are verified
+by their cosine in double precision. A pair is counted in the list of its smallest shared
 point only. Long lists are cut into blocks, and every pair of blocks is a unit.
 """
 
@@ -28,8 +29,9 @@ class Index:
 
     shared: reference points that a candidate pair has in common. pivots_per_root: reference
     points are this times the square root of the number of vectors, so that lists and
-    reference points grow alike. sample: most vectors that the index is fitted on.
-    block: vectors on one side of a comparison unit, on average.
+    reference points grow alike. apart: reference points have a cosine below this, for which
+    draws times as many candidates are looked at. sample: most vectors that the index is
+    fitted on. block: vectors on one side of a comparison unit, on average.
     """
 
     cosine: float = 0.95
@@ -37,6 +39,8 @@ class Index:
     shared: int = 2
     pivots_per_root: float = 1.5
     least_pivots: int = 32
+    apart: float = 0.8
+    draws: int = 4
     sample: int = 65_536
     block: int = 1024
 
@@ -84,16 +88,34 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return picked.mapInArrow(run, "vec_id long, key string, dim int, unit binary")
 
 
+def thinned(candidates: np.ndarray, apart: float, wanted: int) -> np.ndarray:
+    """The first `wanted` candidates whose cosine with every one kept before is below `apart`."""
+    kept = candidates[:0]
+    for low in range(0, len(candidates), 256):
+        part = candidates[low : low + 256]
+        part = part[(part @ kept.T).max(axis=1, initial=-1) < apart]
+        close, own = part @ part.T >= apart, []
+        for i in range(len(part)):
+            if not close[i, own].any():
+                own.append(i)
+        kept = np.concatenate([kept, part[own]])[:wanted]
+        if len(kept) == wanted:
+            break
+    return kept
+
+
 def fit_pivots(classes: DataFrame, index: Index) -> dict[int, np.ndarray]:
-    """Reference points of each length of vector: the first distinct vectors in hash order.
+    """Reference points of each length of vector: the first distinct vectors in hash order that lie apart.
 
-    Their number follows the square root of the vectors and is at most `sample`.
+    Their number follows the square root of the vectors, or is lower where fewer lie apart;
+    at most `sample` vectors are looked at.
     """
     out = {}
     for dim, n in sorted(classes.groupBy("dim").count().collect()):
         wanted = min(index.sample, max(index.least_pivots, math.ceil(index.pivots_per_root * math.sqrt(n))))
-        rows = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("key"), "key").limit(wanted).select("unit").collect()
-        out[dim] = np.frombuffer(b"".join(bytes(r.unit) for r in rows)).reshape(len(rows), dim)
+        drawn = min(index.sample, index.draws * wanted)
+        rows = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("key"), "key").limit(drawn).select("unit").collect()
+        out[dim] = thinned(np.frombuffer(b"".join(bytes(r.unit) for r in rows)).reshape(len(rows), dim), index.apart, wanted)
     return out
 
 
@@ -106,23 +128,38 @@ def describe(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     return np.take_along_axis(part, order, axis=1)
 
 
+def entered(points: np.ndarray, n_pivots: int, shared: int) -> list[np.ndarray]:
+    """The lists that each vector enters: those of its points that can be the smallest shared one of a pair.
+
+    A pair shares `shared` points, so the last of a vector's points are never the smallest;
+    and two choices of k out of m points share one among the first 2 (m - k) + 1.
+    """
+    k = points.shape[1]
+    first = np.sort(points, axis=1)[:, : k - min(shared, k) + 1].astype(np.int32)
+    return [row[row <= 2 * (n_pivots - k)] for row in first]
+
+
 def _described(classes: DataFrame, pivots: dict[int, np.ndarray], index: Index) -> DataFrame:
     def run(batches):
         for batch in batches:
             dims = batch.column(2).to_numpy(zero_copy_only=False)
             units = batch.column(3).to_pylist()
             lists: list = [None] * len(dims)
+            own: list = [None] * len(dims)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.frombuffer(b"".join(units[i] for i in at)).reshape(len(at), dim)
-                for i, row in zip(at, describe(x, pivots[int(dim)], index.nearest), strict=True):
-                    lists[i] = row.astype(np.int32)
+                points = describe(x, pivots[int(dim)], index.nearest)
+                for i, row, named in zip(at, points, entered(points, len(pivots[int(dim)]), index.shared), strict=True):
+                    lists[i], own[i] = row.astype(np.int32), named
+            whole = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=["key", "members", "dim", "unit", "points"]
+                [*batch.columns, pa.array(lists, whole), pa.array(own, whole)],
+                names=["key", "members", "dim", "unit", "points", "lists"],
             )
 
     return classes.select("key", "members", "dim", "unit").mapInArrow(
-        run, "key string, members long, dim int, unit binary, points array<int>"
+        run, "key string, members long, dim int, unit binary, points array<int>, lists array<int>"
     )
 
 
@@ -149,8 +186,8 @@ def _compare(index: Index):
             dim = int(part["dim"].iloc[0])
             x = np.frombuffer(b"".join(part["unit"])).reshape(len(part), dim)
             linked = linked_in_list(x, np.stack(list(part["points"])), int(part["point"].iloc[0]), index)
-            side = part["side"].to_numpy()
-            if side.any():
+            if part["crosses"].iloc[0]:
+                side = part["side"].to_numpy()
                 linked &= side[:, None] != side[None, :]
             hit = linked.any(axis=1)
             names, label = part["key"].to_numpy(), local_groups(linked)
@@ -177,7 +214,7 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, index: Index
     )
     classes, _ = store(classes, "vector-classes")
     described, _ = store(_described(classes, fit_pivots(classes, index), index), "described")
-    entries = described.withColumn("point", F.explode("points"))
+    entries = described.withColumn("point", F.explode("lists")).drop("lists")
     sizes = entries.groupBy("dim", "point").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("dim", "point", block_count(F.col("n"), index.block).alias("nb"))
     placed = entries.join(sizes, ["dim", "point"]).withColumn("at", block_of(F.col("key"), F.col("nb")))
@@ -185,7 +222,7 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, index: Index
     units = placed.withColumn("x", F.explode(other)).select(
         "key", "members", "dim", "unit", "points", "point",
         F.concat_ws("/", "dim", "point", F.least("at", "x"), F.greatest("at", "x")).alias("sub"),
-        (F.col("at") > F.col("x")).cast("int").alias("side"),
+        (F.col("at") > F.col("x")).cast("int").alias("side"), (F.col("at") != F.col("x")).alias("crosses"),
     )
     links, _ = store(units.groupBy("sub").applyInPandas(_compare(index), LINKS), "links")
     slim = classes.select("key", "members", "first_id", F.lit(True).alias("linkable"))

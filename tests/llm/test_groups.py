@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,48 @@ def test_near_vectors_against_brute_force(spark):
     assert pivots.near_vectors(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def hot_cluster(n=20_000, dim=64, cosine=0.955):
+    """Distinct unit vectors, a third of them around one direction with about this cosine to each other."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(1, dim))
+    hot = centre / np.linalg.norm(centre) + rng.normal(size=(n // 3, dim)) * np.sqrt((1 / cosine - 1) / dim)
+    x = np.concatenate([hot, rng.normal(size=(n - n // 3, dim))])
+    x[-500:] = x[n // 3 : n // 3 + 500] + rng.normal(size=(500, dim)) * 0.2
+    return (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(n)]
+
+
+def test_near_vectors_in_a_hot_cluster(spark):
+    x = hot_cluster()
+    want = np.concatenate([(x[i : i + 2000] @ x.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(x), 2000)])
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))})
+    got = np.zeros(len(x), np.int64)
+    for r in pivots.near_vectors(spark.createDataFrame(table).repartition(8), "vec_id", "embedding").collect():
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all()
+    assert got.sum() >= 0.98 * want.sum()
+    many = want >= 50
+    assert many.any() and (got[many] / want[many]).min() >= 0.9
+
+
+def test_lists_hold_each_pair_once():
+    rng = np.random.default_rng(4)
+    for n_pivots, k, shared in ((1, 1, 2), (4, 4, 2), (7, 5, 2), (12, 10, 2), (40, 10, 2), (40, 10, 3)):
+        points = np.array([rng.permutation(n_pivots)[:k] for _ in range(60)])
+        lists = [set(map(int, row)) for row in pivots.entered(points, n_pivots, shared)]
+        for i, j in itertools.combinations(range(60), 2):
+            both = set(map(int, points[i])) & set(map(int, points[j]))
+            if len(both) >= min(shared, k):
+                assert min(both) in lists[i] and min(both) in lists[j]
+
+
+def test_blocks_without_a_vector_count_nothing_again(spark):
+    rows = [(i, [1.0, i / 1000]) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (1, 2, 3):
+        got = pivots.near_vectors(df, "vec_id", "embedding", pivots.Index(block=block)).collect()
+        assert [r.n_links for r in got] == [7] * 8
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
