@@ -212,8 +212,8 @@ def _compare(forest: Forest):
             if len(part) < 2:
                 continue
             linked = similar([t.encode("utf-8", "surrogatepass") for t in part["text"]], forest.words, forest.threshold)
-            side = part["side"].to_numpy()
-            if side.any():
+            if part["crosses"].iloc[0]:
+                side = part["side"].to_numpy()
                 linked &= side[:, None] != side[None, :]
             label = local_groups(linked)
             count = linked @ part["members"].to_numpy(np.int64)
@@ -228,11 +228,12 @@ def _compare(forest: Forest):
 
 
 def _units(members: DataFrame, forest: Forest) -> DataFrame:
-    """(key, members, doc_id, unit, sub, side): which classes are compared in which unit.
+    """(key, members, doc_id, unit, sub, side, crosses): which classes are compared in which unit.
 
     Groups of at most one block stay together, many in a unit. Larger ones are cut by size
     class (sizes of linked texts differ by a factor of at most 1/threshold, so by one class
-    at most) and by blocks; every pair of blocks that can hold links is a unit.
+    at most) and by blocks; every pair of blocks that can hold links is a unit. A unit that
+    crosses two blocks counts links between its sides only, also where one side has no class.
     """
     group = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     blocks = F.greatest(block_count(F.col("n"), forest.block), block_count(F.col("bytes"), forest.block_bytes))
@@ -243,7 +244,7 @@ def _units(members: DataFrame, forest: Forest) -> DataFrame:
     small = known.where(~F.col("large")).select(
         "key", "members", "doc_id",
         F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string").alias("unit"),
-        F.col("component").alias("sub"), F.lit(0).alias("side"),
+        F.col("component").alias("sub"), F.lit(0).alias("side"), F.lit(False).alias("crosses"),
     )
     ratio = math.log(1 / forest.threshold)
     sized = known.where("large").withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / ratio + 1e-9).cast("int"))
@@ -258,15 +259,16 @@ def _units(members: DataFrame, forest: Forest) -> DataFrame:
         numbers = F.when(F.coalesce(count, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(count, F.lit(0)) - 1))
         return F.transform(F.coalesce(numbers, F.array().cast("array<int>")), make)
 
-    def unit(low, i, high, j, side):
-        return F.struct(F.concat_ws("/", "component", low, i, high, j).alias("sub"), side.cast("int").alias("side"))
+    def unit(low, i, high, j, side, crosses):
+        sub = F.concat_ws("/", "component", low, i, high, j)
+        return F.struct(sub.alias("sub"), side.cast("int").alias("side"), crosses.alias("crosses"))
 
     c, at = F.col("c"), F.col("at")
-    same = units(F.col("nb"), lambda x: unit(c, F.least(at, x), c, F.greatest(at, x), at > x))
-    up = units(F.col("above"), lambda x: unit(c, at, c + 1, x, F.lit(0)))
-    down = units(F.col("below"), lambda x: unit(c - 1, x, c, at, F.lit(1)))
+    same = units(F.col("nb"), lambda x: unit(c, F.least(at, x), c, F.greatest(at, x), at > x, at != x))
+    up = units(F.col("above"), lambda x: unit(c, at, c + 1, x, F.lit(0), F.lit(True)))
+    down = units(F.col("below"), lambda x: unit(c - 1, x, c, at, F.lit(1), F.lit(True)))
     large = placed.select("key", "members", "doc_id", F.explode(F.concat(same, up, down)).alias("u")).select(
-        "key", "members", "doc_id", F.col("u.sub").alias("unit"), F.col("u.sub").alias("sub"), F.col("u.side").alias("side")
+        "key", "members", "doc_id", F.col("u.sub").alias("unit"), F.col("u.sub").alias("sub"), "u.side", "u.crosses"
     )
     return small.unionByName(large)
 
@@ -302,7 +304,7 @@ def jaccard_join(docs: DataFrame, id_col: str, text_col: str, forest: Forest = F
     ).withColumn("d_key", text_key(F.col("text")))
     compared = texts.join(units, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("key")))
     links = (
-        compared.select("unit", "sub", "side", "key", "members", "text").groupBy("unit").applyInPandas(_compare(forest), LINKS)
+        compared.select("unit", "sub", "side", "crosses", "key", "members", "text").groupBy("unit").applyInPandas(_compare(forest), LINKS)
     )
     links, _ = store(links, "links")
     return resolve(signed.select("doc_id", "key"), slim, links, "doc_id")

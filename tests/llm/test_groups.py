@@ -101,6 +101,21 @@ def test_jaccard_equals_brute_force(spark):
     assert jaccard.jaccard_join(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_jaccard_blocks_without_a_text_count_nothing_again(spark):
+    rows = []
+    for g in range(24):
+        words = [f"g{g}w{i}" for i in range(60)]
+        near = [*words[:59], f"g{g}x"]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(near))]
+        if g % 2:  # and one of the next size class
+            rows.append((10 * g + 2, " ".join([*words, *(f"g{g}y{i}" for i in range(8))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_rows([r[0] for r in rows], brute_join(rows))
+    for size in (200, 300, 500):
+        out = jaccard.jaccard_join(df, "doc_id", "text", jaccard.Forest(block_bytes=size)).collect()
+        assert sorted((r.doc_id, r.n_links, r.component_id) for r in out) == want
+
+
 def test_forest_depth_follows_the_target():
     assert jaccard.Forest().prefix == 7
     assert jaccard.Forest(tries=8, target=0.99).prefix < 7
