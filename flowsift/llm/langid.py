@@ -3,7 +3,8 @@
 Text likelihoods come from character trigrams counted over all labelled texts. The
 reliability of declarations and suffixes, and the languages of each host, are grouped
 sums of text posteriors; hosts are smoothed towards their domain, domains towards the
-whole. The posterior multiplies prior and likelihoods.
+whole. The posterior multiplies prior and likelihoods. A text that a uniform trigram
+model explains better than every language is in none of them, whatever is declared.
 """
 
 from __future__ import annotations
@@ -122,6 +123,13 @@ def text_evidence(text: Column, model: np.ndarray, settings: Settings) -> Column
     return run(text)
 
 
+def in_some_language(settings: Settings) -> Column:
+    """Over `text_evidence`: letters enough, and some language as likely as trigrams drawn uniformly from all buckets."""
+    counted = F.least(F.col("n_grams"), F.lit(settings.evidence))
+    known = F.array_max("loglik") >= F.lit(-float(np.log(BUCKETS))) * counted
+    return (F.col("n_grams") >= settings.min_grams) & known
+
+
 def host_of(address: Column) -> Column:
     """Lower-case host of an address with or without scheme, user, port and path."""
     rest = F.regexp_replace(F.lower(F.coalesce(address, F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
@@ -156,11 +164,12 @@ def _host_table(evidence: DataFrame, settings: Settings) -> tuple[DataFrame, dic
     """(host, host_loglik) with prior and suffix likelihood in one, and the declarations' log-likelihoods.
 
     Sums are made per host first, then per domain and suffix, so no key gathers rows.
+    Texts in none of the languages say nothing about hosts and declarations.
     """
     k = len(settings.languages)
     names = [f"s{i}" for i in range(k)]
     add = [F.sum(n).alias(n) for n in names]
-    soft = evidence.where(F.col("n_grams") >= settings.min_grams).select(
+    soft = evidence.where(in_some_language(settings)).select(
         "host", "declared", *[c.alias(n) for c, n in zip(_softmax(F.col("loglik"), k), names, strict=True)]
     )
     declared = {r[0]: list(r[1:]) for r in soft.groupBy("declared").agg(*add).collect()}
@@ -204,7 +213,8 @@ def identify(
     """`keep` (all) columns of `records`, then lang, confidence, n_grams, posterior, lang_kept.
 
     Texts with fewer than min_grams letter trigrams, empty and null ones too, are `und` with
-    confidence 0 and not kept; so are texts whose best language is below min_confidence.
+    confidence 0 and not kept, and so are texts in none of the languages; texts whose best
+    language is below min_confidence are `und` and not kept.
     Null declarations and addresses are no evidence; an unknown declaration counts as
     "other". Equal posteriors go to the language listed first. Repeated rows are judged
     alike and all stay. Input columns named like a result are replaced.
@@ -238,7 +248,7 @@ def identify(
     joined = joined.withColumn("fused", fused)
     posterior = F.array(*_softmax(F.col("fused"), k))
     judged = joined.withColumn("post", posterior).withColumn("best", F.array_max("post"))
-    enough = F.col("n_grams") >= settings.min_grams
+    enough = in_some_language(settings)
     found = F.element_at(
         F.array(*[F.lit(x) for x in settings.languages]), F.array_position("post", F.col("best")).cast("int")
     )

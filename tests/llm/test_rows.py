@@ -257,6 +257,30 @@ def test_language_from_text_alone_and_fusion(spark):
     assert langid.keep_identified(records.limit(0), "text", "said", "url", model, s).count() == 0
 
 
+def test_texts_in_none_of_the_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_text_model(docs, "text", "lang", langid.Settings())
+    draw = random.Random(5)
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由 在尊严和权利上一律平等 他们赋有理性和良心 并应以兄弟关系的精神相对待",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem",
+        " ".join("".join(draw.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(30)),
+    ]
+    rows = [(-1 - i, t, said, "http://a.example.es/x") for i, t in enumerate(foreign) for said in ("es", "en", "it", None)]
+    schema = "doc_id long, text string, lang string, source string"
+    both = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, schema))
+    out = langid.identify(both, F.col("text"), F.col("lang"), F.col("source"), model, keep=("doc_id",))
+    strange = out.where("doc_id < 0").collect()
+    assert len(strange) == len(rows)
+    assert {(r.lang, r.confidence, r.lang_kept) for r in strange} == {("und", 0.0, False)}
+    known = out.where("doc_id >= 0 and n_grams >= 3")
+    assert known.where("lang_kept").count() >= 0.99 * known.count()
+    assert {r.doc_id for r in langid.keep_identified(both, "text", "lang", "source", model).select("doc_id").collect()} == {
+        r.doc_id for r in out.where("lang_kept").collect()
+    }
+
+
 def test_markup_helpers(spark):
     html = '<HTML class="a" LANG=fr-CA><head><style>p{}</style><script>var x="<p>";</script></head><!-- no --><p>Bon<b>jour</b>'
     row = spark.createDataFrame([(html, "https://U@WWW.Ex.Org:80/fr?x"), (None, None)], "h string, u string").select(
