@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by banded MinHash, with exact verification.
 
-Every text has one signature per trie of the forest. Two texts meet in a trie if they
-share its prefix; the prefix is shortened from full depth until texts at the threshold
-meet in some trie with the target probability. Texts that meet, directly or through
-others, form candidate groups (star edges to the smallest key of a prefix, never pairs).
+Every text has one signature per band. The bands are tries of an LSH forest cut at one
+depth, fixed beforehand: the longest prefix with which texts at the threshold meet in some
+band with the target probability. Nothing is sorted or shortened at run time. Texts that
+meet, directly or through others, form candidate groups (star edges to the smallest key
+of a prefix, never pairs).
 Inside a group, texts whose sizes allow the threshold are compared exactly, in blocks.
 """
 
