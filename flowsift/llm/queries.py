@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsift.llm import (
-    attribution, bpe, chat, jaccard, langid, packing, pivots, quality, sharding, toxicity
+    attribution, bpe, centroids, chat, infill, jaccard, langid, packing, pieces as pieces_, pivots, quality, sharding, toxicity
 )
 from flowsift.llm.common import table, unsigned_crc32
 
 SHARDS = 24
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+CLUSTERS, ROUNDS = 40, 5
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +159,34 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), "doc_id", "text").drop("key")
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces with begin and end ids, and back."""
+    encoded = pieces_.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", PIECES)
+    return pieces_.decode_documents(encoded, PIECES).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and restored from that."""
+    moved = infill.fill_in_middle(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return infill.restore_texts(moved).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds over whole-number vectors."""
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", CLUSTERS, ROUNDS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_shard, op2_chat, op3_pack, op4_toxicity, op5_token_counts, op6_language, op7_bpe, op8_quality,
-        op9_embeddings, op10_jaccard,
+        op9_embeddings, op10_jaccard, op11_pieces, op12_infill, op13_centroids,
     )
 }
 
@@ -175,6 +200,25 @@ reach(id, least) AS (
   SELECT l.b, r.least FROM reach r JOIN {links} l ON l.a = r.id WHERE r.least < l.b)"""
 
 
+def _cluster_rounds() -> str:
+    """CTEs c0, c1, ...: centroids (c, v) at the start and after each round; and a: the last assignment."""
+    nearest = """
+  SELECT i, v, arg_min(c, d * {clusters} + c) AS c, CAST(min(d) AS BIGINT) AS d FROM (
+    SELECT k.i, k.v, c.c, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM k, c{r} c) GROUP BY i, v"""
+    out = []
+    for r in range(ROUNDS + 1):
+        out.append(f"a{r} AS MATERIALIZED ({nearest.format(r=r, clusters=CLUSTERS)})")
+        if r < ROUNDS:
+            out.append(f"""
+m{r} AS (
+  SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{r}) GROUP BY c, p),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(any_value(m.v), any_value(c.v)) AS v FROM c{r} c LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM m{r} GROUP BY c) m ON m.c = c.c GROUP BY c.c)""")
+    return ",\n".join(out)
+
+
 ORACLES = {
     "op1_shard": f"""
 WITH crc AS (
@@ -237,4 +281,33 @@ ids AS (SELECT doc_id AS id FROM documents),
 deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT r.id AS doc_id, coalesce(any_value(deg.n), 0) AS n_links, min(r.least) AS component_id, r.id = min(r.least) AS kept
 FROM reach r LEFT JOIN deg ON deg.a = r.id GROUP BY r.id""",
+    "op12_infill": """
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256(concat('1:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
+h AS (
+  SELECT doc_id, text, u, len(u) AS n, list_transform(range(4), lambda i: CAST(concat('0x', substr(h, 8 * i + 1, 8)) AS BIGINT)) AS h FROM u),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain'
+              WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+t AS (
+  SELECT doc_id, n, form, text, coalesce(array_to_string(u[:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+         coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m)
+              ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM t""",
+    "op13_centroids": f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id AS i, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256(concat('2:', i))) - 1 AS c, v FROM k ORDER BY sha256(concat('2:', i)) LIMIT {CLUSTERS}),
+{_cluster_rounds()}
+SELECT a.i AS vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN c{ROUNDS} c ON c.c = a.c""",
 }
