@@ -10,14 +10,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsift.functions import dataset_id
+from flowsift.operators.features import column_names
 from flowsift.operators.position import dense_position, number_rows
 from flowsift.operators.split import assign_split
 from flowsift.schema import RECORDS, TESTING, TRAINING
 from flowsift.session import written
+from flowsift.sources.csv_lines import row_document, scan_records
 from flowsift.sources.decode import parse_document
 
-CORRUPT = "_corrupt_record"
-
 
 def dataset_name(spark: SparkSession, name: str | None) -> str:
     return spark.range(1).select(dataset_id(F.lit(name).cast("string"))).first()[0]
@@ -52,26 +52,20 @@ def require_split(rec: DataFrame) -> DataFrame:
     return rec
 
 
-def read_record_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def _csv_path(path: str) -> str:
+    if not path.rstrip("/").endswith(".csv"):
+        raise ValueError("file must be a CSV file")
+    return path
+
+
+def read_record_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV as texts: '' for an empty cell, null for a cell a short row lacks.
 
-    Surplus cells of long rows are dropped. Bytes that are not UTF-8 are an error.
-    multi_line allows line breaks in quoted cells, at the price of unsplittable files.
+    Quoted cells may hold line breaks. Bytes that are not UTF-8 are an error. Columns with
+    equal names get a number; surplus cells have no column (`ingest_csv` keeps them).
     """
-    if not path.rstrip("/").endswith(".csv"):
-        raise ValueError("file must be a CSV file")
-    options = {"header": True, "escape": '"', "multiLine": multi_line}
-    names = spark.read.options(**options).csv(path).columns
-    if not names:
-        raise ValueError("uploaded file is empty")
-    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
-        raise ValueError("file must be UTF-8 encoded")
-    schema = ", ".join(f"`{n}` string" for n in [*names, CORRUPT])
-    raw = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
-    whole = F.col(CORRUPT).isNull()
-    return raw.select(
-        *[F.when(whole, F.coalesce(F.col(f"`{n}`"), F.lit(""))).otherwise(F.col(f"`{n}`")).alias(n) for n in names]
-    )
+    names, rows = scan_records(spark, _csv_path(path))
+    return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(column_names(names))])
 
 
 def to_row_data(df: DataFrame, cols: list[str] | None = None) -> Column:
@@ -88,19 +82,27 @@ def next_id(spark: SparkSession, table: str, dataset: str, batch: str | None = N
     return (log.agg(F.max("id")).first()[0] or 0) + 1
 
 
-def number_records(df: DataFrame, start: int, order_col: str | None) -> DataFrame:
-    """Add consecutive ids by a unique column, or in arrival order when there is none."""
+def number_records(df: DataFrame, start: int, order_col: str | None, position_col: str | None = None) -> DataFrame:
+    """Add consecutive ids by a unique column or by positions from 0, or in arrival order when there is neither."""
+    if position_col is not None:
+        return df.withColumn("id", F.col(position_col) + F.lit(start)).drop(position_col)
     if order_col is None:
         return number_rows(df, start, "id")
     return dense_position(df, order_col, start, "_id").drop(order_col).withColumnRenamed("_id", "id")
 
 
 def write_batch(
-    df: DataFrame, table: str, dataset: str, batch: str, ts: dt.datetime, order_col: str | None = None
+    df: DataFrame,
+    table: str,
+    dataset: str,
+    batch: str,
+    ts: dt.datetime,
+    order_col: str | None = None,
+    position_col: str | None = None,
 ) -> int:
     """Write `row_data` rows as one batch in one commit; a repeated batch replaces itself."""
     spark = df.sparkSession
-    numbered = number_records(df, next_id(spark, table, dataset, batch), order_col)
+    numbered = number_records(df, next_id(spark, table, dataset, batch), order_col, position_col)
     rows = numbered.select(
         "id",
         F.lit(ts).alias("upload_timestamp"),
@@ -144,8 +146,23 @@ def ingest_records(
     )
 
 
-def ingest_csv(spark: SparkSession, path: str, table: str, dataset: str | None = None, **kwargs) -> int:
-    return ingest_records(read_record_csv(spark, path), table, dataset, **kwargs)
+def ingest_csv(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    dataset: str | None = None,
+    ts: dt.datetime | None = None,
+    batch: str | None = None,
+) -> int:
+    """Store a CSV file, or a folder of them, in the order of its records; returns rows inserted.
+
+    Quoted cells may hold line breaks, and a large file is still read by several tasks.
+    Surplus cells stay, as a list under the key "null".
+    """
+    names, rows = scan_records(spark, _csv_path(path))
+    rows = rows.select("position", row_document(names).alias("row_data"))
+    name = dataset_name(spark, dataset)
+    return write_batch(rows, table, name, batch or uuid.uuid4().hex, ts or _now(), position_col="position")
 
 
 def append_records(

@@ -95,7 +95,8 @@ def test_log_life_cycle(spark, tmp_path):
     rows = records.dataset_scan(spark, table, "lab").orderBy("id").collect()
     assert [r["id"] for r in rows] == [1, 2, 3, 4]
     assert [r["row_data"] for r in rows] == [
-        '{"a":"1","type":"x, \\"y\\""}', '{"a":"","type":"z"}', '{"a":"3","type":null}', '{"a":"4","type":"w"}',
+        '{"a":"1","type":"x, \\"y\\""}', '{"a":"","type":"z"}', '{"a":"3","type":null}',
+        '{"a":"4","type":"w","null":["surplus"]}',
     ]
     assert {r["upload_timestamp"] for r in rows} == {NOW.replace(tzinfo=None)}
 
