@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsift.operators.nodes import NODES
 from flowsift.schema import FLOW_TYPES, RENAMES
 
 FX_RECORDS = """
@@ -117,3 +118,50 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view_sql(name: str) -> str:
     """The view's text over tables named `events` and `lineitem`."""
     return VIEWS[name].format(events="events", lineitem="lineitem")
+
+
+#: A small forest over (dur, place of proto in the alphabet, sbytes, rate): tree, node, feature,
+#: threshold, categories that go left, left, right, share of class 1. All shares are
+#: sums of powers of two, so that no engine rounds.
+FOREST = [
+    (0, 0, 3, 60.0, None, 1, 2, 0.5),
+    (0, 1, 1, None, [0.0], 3, 4, 0.375),
+    (0, 2, None, None, None, None, None, 0.9375),
+    (0, 3, None, None, None, None, None, 0.0625),
+    (0, 4, 3, 20.0, None, 5, 6, 0.5),
+    (0, 5, None, None, None, None, None, 0.125),
+    (0, 6, None, None, None, None, None, 0.875),
+    (1, 0, 1, None, [0.0], 1, 2, 0.5),
+    (1, 1, 3, 60.0, None, 3, 4, 0.375),
+    (1, 2, 3, 20.0, None, 5, 6, 0.5),
+    (1, 3, None, None, None, None, None, 0.03125),
+    (1, 4, None, None, None, None, None, 0.96875),
+    (1, 5, None, None, None, None, None, 0.125),
+    (1, 6, None, None, None, None, None, 0.75),
+    (2, 0, 0, 48.0, None, 1, 2, 0.4375),
+    (2, 1, 2, 1500.0, None, 3, 4, 0.5),
+    (2, 2, None, None, None, None, None, 0.375),
+    (2, 3, 3, 40.0, None, 5, 6, 0.5),
+    (2, 4, None, None, None, None, None, 0.5),
+    (2, 5, None, None, None, None, None, 0.25),
+    (2, 6, None, None, None, None, None, 0.625),
+    (3, 0, 2, 0.0, None, 1, 2, 0.5),
+    (3, 1, None, None, None, None, None, 0.4375),
+    (3, 2, 3, 55.5, None, 3, 4, 0.5),
+    (3, 3, None, None, None, None, None, 0.1875),
+    (3, 4, None, None, None, None, None, 0.84375),
+]
+FOREST_FEATURES = ["dur", "proto", "sbytes", "rate"]
+
+
+def forest_nodes(spark: SparkSession) -> DataFrame:
+    """The small forest as a node table; weights and gains are not measured."""
+    rows = [(t, n, f, cut, cats, left, right, [1 - p, p], None, None) for t, n, f, cut, cats, left, right, p in FOREST]
+    return spark.createDataFrame(rows, NODES)
+
+
+def forest_sql() -> str:
+    """The same as a list of SQL rows (tree, node, feature, threshold, categories, lft, rgt, p)."""
+    text = lambda v: "NULL" if v is None else str(v)
+    values = ",\n".join(f"({', '.join(map(text, row))})" for row in FOREST)
+    return f"SELECT * FROM (VALUES {values}) AS v(tree, node, feature, threshold, categories, lft, rgt, p)"

@@ -1,4 +1,4 @@
-"""Random-forest training, scoring and evaluation with MLlib."""
+"""Random-forest training, scoring and evaluation with MLlib and node tables."""
 
 from __future__ import annotations
 
@@ -16,11 +16,10 @@ from flowsift.functions import label_name, parse_number
 from flowsift.functions.text import NUMBER, WHITESPACE
 from flowsift.operators.features import column_names, record_feature_keys
 from flowsift.operators.metrics import confusion_matrix, metrics_of, ranking_metrics
+from flowsift.operators.nodes import MAX_DEPTH, NodeForest, grow_to_purity, model_nodes, node_importances
 from flowsift.schema import CATEGORICAL, LABEL_NAMES, MODEL_RUN
 from flowsift.session import spread, written
 
-MAX_DEPTH = 30  # the deepest tree MLlib can grow
-
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, weight) with weight = n / (classes * rows of the class)."""
@@ -46,6 +45,7 @@ def _forest(trees: int, depth: int, seed: int, **more: Any) -> RandomForestClass
         impurity="gini",
         minInstancesPerNode=1,
         seed=seed,
+        bootstrap=trees > 1,  # a single tree takes every row
         cacheNodeIds=depth > 10,
         checkpointInterval=10,
         **more,
@@ -78,26 +78,14 @@ def _numbers_sql(value: str) -> str:
     return f"CASE WHEN {trimmed} RLIKE {_sql_text(NUMBER)} THEN try_cast({trimmed} AS DOUBLE) END"
 
 
-def train_record_forest(
-    df: DataFrame,
-    trees: int = 100,
-    depth: int = MAX_DEPTH,
-    categorical: str = "index",
-    seed: int = 42,
-    features: list[str] | None = None,
-    categorical_keys: list[str] = CATEGORICAL,
-) -> PipelineModel:
-    """Forest on decoded records (map column `data`).
+def _record_stages(
+    m: DataFrame, keys: list[str], text_keys: list[str]
+) -> tuple[list[Any], DataFrame, list[str], list[str], int]:
+    """Stages that turn records into the column `features`, fitted on the records with a label.
 
-    The fitted model takes records as they are: it looks up the training keys, reads
-    numbers, and fills what is missing with 0, so batch, stream and reloaded models
-    align features alike. 'index' keeps text keys as categories; 'zero' turns their
-    values into numbers, that is into 0.
+    Also those records as columns, the columns' names, the inputs of the vector, and the most
+    values a text key has.
     """
-    if categorical not in ("index", "zero"):
-        raise ValueError("categorical must be 'index' or 'zero'")
-    keys = record_feature_keys(df) if features is None else features
-    text_keys = [k for k in keys if categorical == "index" and k in categorical_keys]
     names = [f"x_{n}" for n in column_names(keys)]
     parts = []
     for key, name in zip(keys, names):
@@ -109,7 +97,7 @@ def train_record_forest(
     extract = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
     label = parse_number(F.try_element_at(F.col("data"), F.lit("label"))).cast("int")
-    known = df.select("data", label.cast("double").alias("label")).where(F.col("label").isNotNull())
+    known = m.select("data", label.cast("double").alias("label")).where(F.col("label").isNotNull())
     # Indexing, split finding and tree building each read the rows; the documents are parsed once.
     wide = spread(extract.transform(known).select(*[f"`{n}`" for n in names], "label"))
     plain = wide.toDF(*[f"c{i}" for i in range(len(wide.columns))])
@@ -128,15 +116,55 @@ def train_record_forest(
         inputs = [f"i{n}" if n in texts else n for n in names]
         arity = max(len(labels) + 1 for labels in indexer.labelsArray)
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    forest = _forest(trees, depth, seed, maxBins=max(32, arity)).fit(
-        assembler.transform(data).select("features", "label")
-    )
+    return [*stages, assembler], assembler.transform(data).select("features", "label"), names, inputs, arity
+
+
+def record_front(m: DataFrame, features: list[str], categorical_keys: list[str] = CATEGORICAL) -> PipelineModel:
+    """The stages before the forest alone: records to the vector column `features`, in the given order of keys."""
+    stages, *_ = _record_stages(m, features, [k for k in features if k in categorical_keys])
+    return PipelineModel(stages)
+
+
+def train_record_forest(
+    df: DataFrame,
+    trees: int = 100,
+    depth: int | None = None,
+    categorical: str = "index",
+    seed: int = 42,
+    features: list[str] | None = None,
+    categorical_keys: list[str] = CATEGORICAL,
+) -> PipelineModel | NodeForest:
+    """Forest on decoded records (map column `data`).
+
+    depth=None grows every tree until its leaves are pure or hold rows that are alike, which
+    gives a node forest; a number of levels gives an MLlib pipeline.
+
+    The fitted model takes records as they are: it looks up the training keys, reads
+    numbers, and fills what is missing with 0, so batch, stream and reloaded models
+    align features alike. 'index' keeps text keys as categories; 'zero' turns their
+    values into numbers, that is into 0.
+    """
+    if categorical not in ("index", "zero"):
+        raise ValueError("categorical must be 'index' or 'zero'")
+    keys = record_feature_keys(df) if features is None else features
+    text_keys = [k for k in keys if categorical == "index" and k in categorical_keys]
+    stages, vectors, names, inputs, arity = _record_stages(df, keys, text_keys)
+    forest = _forest(trees, MAX_DEPTH if depth is None else depth, seed, maxBins=max(32, arity)).fit(vectors)
+    if depth is None:
+        rows = vectors.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col("label").cast("int"),
+            F.lit(1.0).alias("weight"),
+            vector_to_array("features").alias("x"),
+        )
+        nodes = grow_to_purity(model_nodes(forest), written(rows, "vectors"), seed)
+        return NodeForest(nodes, PipelineModel(stages))
     dropped = ", ".join(f"`{c}`" for c in dict.fromkeys(names + inputs))
     tidy = SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__")
-    return PipelineModel([*stages, assembler, forest, tidy])
+    return PipelineModel([*stages, forest, tidy])
 
 
-def forest_of(model: Any) -> RandomForestClassificationModel:
+def forest_of(model: Any) -> RandomForestClassificationModel | NodeForest:
     if isinstance(model, PipelineModel):
         return next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
     return model
@@ -152,11 +180,15 @@ def vector_names(df: DataFrame, col: str = "features") -> list[str]:
 def importance_topk(model: Any, names: list[str], k: int | None = 10, spark: SparkSession | None = None) -> DataFrame:
     """(feature, importance), most important first; k=None lists all."""
     spark = spark or SparkSession.active()
-    weights = forest_of(model).featureImportances.toArray()
-    rows = [(n, float(w)) for n, w in zip(names, weights)]
-    ranked = spark.createDataFrame(rows, "feature string, importance double").orderBy(
-        F.desc("importance"), "feature"
-    )
+    found = forest_of(model)
+    if isinstance(found, NodeForest):
+        slots = spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+        weights = slots.join(node_importances(found.nodes), "slot", "left")
+        ranked = weights.select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    else:
+        rows = [(n, float(w)) for n, w in zip(names, found.featureImportances.toArray())]
+        ranked = spark.createDataFrame(rows, "feature string, importance double")
+    ranked = ranked.orderBy(F.desc("importance"), "feature")
     return ranked if k is None else ranked.limit(k)
 
 
@@ -166,7 +198,7 @@ def score(model: Any, df: DataFrame, id_col: str = "id") -> DataFrame:
     return model.transform(df).select(id_col, p[1].alias("score"))
 
 
-def predict(model: PipelineModel, m: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(model: PipelineModel | NodeForest, m: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """prediction, label, probability_safe, probability_unsafe, confidence per record."""
     p = vector_to_array("probability")
     scored = model.transform(m).select(*keep, F.col("prediction").cast("int"), p.alias("p"))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsift.functions import parse_number
 from flowsift.operators.features import record_feature_keys
-from flowsift.operators.forest import MAX_DEPTH, evaluate, run_row, train_record_forest
+from flowsift.operators.forest import evaluate, run_row, train_record_forest
+from flowsift.operators.nodes import NodeForest
 from flowsift.schema import TESTING, TRAINING
 from flowsift.sources.decode import decode_records
 from flowsift.sources.models import load_model, log_run, save_model
@@ -20,11 +21,11 @@ def train_from_log(
     rec: DataFrame,
     out_dir: str,
     trees: int = 100,
-    depth: int = MAX_DEPTH,
+    depth: int | None = None,
     seed: int = 42,
     categorical: str = "index",
     name: str = "random-forest",
-) -> PipelineModel:
+) -> PipelineModel | NodeForest:
     """Train on the rows labelled 'training'; the run is logged with metrics still null."""
     m = decode_records(split_scan(require_split(rec), TRAINING))
     features = record_feature_keys(m)

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from flowsift.operators.forest import predict
+from flowsift.operators.nodes import NodeForest
 
 
 def predict_stream(
-    model: PipelineModel, stream: DataFrame, sink: str, checkpoint: str, keep: tuple[str, ...] = ()
+    model: PipelineModel | NodeForest, stream: DataFrame, sink: str, checkpoint: str, keep: tuple[str, ...] = ()
 ) -> StreamingQuery:
     """Score arriving records (map column `data`) into a Parquet sink; stateless."""
     return (

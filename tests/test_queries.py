@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql.types import IntegralType
 
 import __spark_entry__ as contract
 
@@ -29,7 +30,11 @@ def rows(frame, columns):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf, duck, name):
-    got = QUERIES[name](spark, sf).toPandas()
+    frame = QUERIES[name](spark, sf)
+    got = frame.toPandas()
+    for f in frame.schema:  # pandas makes whole numbers with a null among them floating
+        if isinstance(f.dataType, IntegralType):
+            got[f.name] = got[f.name].astype("Int64")
     want = duck.execute(ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
@@ -39,10 +44,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 def test_contract():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 75
     without = {n for n in set(QUERIES) - set(ORACLES) if not re.match(r"op\d+_|pipeline$", n)}
-    assert without == {
-        "model_load", "rf_train_weighted", "rf_train_records", "feature_importance_topk",
-        "rf_score", "predict_records", "predict_stream", "evaluate_model",
-    }
+    assert not without
 
 
 def test_entry(spark):
