@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from typing import Any
 
@@ -16,7 +17,7 @@ from flowsift.functions import label_name, parse_number
 from flowsift.functions.text import NUMBER, WHITESPACE
 from flowsift.operators.features import column_names, record_feature_keys
 from flowsift.operators.metrics import confusion_matrix, metrics_of, ranking_metrics
-from flowsift.operators.nodes import MAX_DEPTH, NodeForest, grow_to_purity, model_nodes, node_importances
+from flowsift.operators.nodes import LEAF_BYTES, MAX_DEPTH, NodeForest, grow_to_purity, model_nodes, node_importances
 from flowsift.schema import CATEGORICAL, LABEL_NAMES, MODEL_RUN
 from flowsift.session import spread, written
 
@@ -133,11 +134,14 @@ def train_record_forest(
     seed: int = 42,
     features: list[str] | None = None,
     categorical_keys: list[str] = CATEGORICAL,
+    levels: int | None = None,
 ) -> PipelineModel | NodeForest:
     """Forest on decoded records (map column `data`).
 
     depth=None grows every tree until its leaves are pure or hold rows that are alike, which
-    gives a node forest; a number of levels gives an MLlib pipeline.
+    gives a node forest: `levels` of them level by level over all rows, the rest leaf by leaf.
+    By default as many as bring a balanced tree's leaves well below what a task grows, at
+    least 8. A number of levels as depth gives an MLlib pipeline.
 
     The fitted model takes records as they are: it looks up the training keys, reads
     numbers, and fills what is missing with 0, so batch, stream and reloaded models
@@ -149,7 +153,10 @@ def train_record_forest(
     keys = record_feature_keys(df) if features is None else features
     text_keys = [k for k in keys if categorical == "index" and k in categorical_keys]
     stages, vectors, names, inputs, arity = _record_stages(df, keys, text_keys)
-    forest = _forest(trees, MAX_DEPTH if depth is None else depth, seed, maxBins=max(32, arity)).fit(vectors)
+    if depth is None and levels is None:
+        leaves = vectors.count() * (8 * len(inputs) + 32) / LEAF_BYTES
+        levels = min(MAX_DEPTH, max(8, 3 + math.ceil(math.log2(max(1.0, leaves)))))
+    forest = _forest(trees, levels if depth is None else depth, seed, maxBins=max(32, arity)).fit(vectors)
     if depth is None:
         rows = vectors.select(
             F.monotonically_increasing_id().alias("row"),
