@@ -18,6 +18,7 @@ from flowsift.functions.text import NUMBER, WHITESPACE
 from flowsift.operators.features import column_names, record_feature_keys
 from flowsift.operators.metrics import confusion_matrix, metrics_of, ranking_metrics
 from flowsift.operators.nodes import LEAF_BYTES, MAX_DEPTH, NodeForest, grow_to_purity, model_nodes, node_importances
+from flowsift.operators.sparse import SparseForest, record_dictionary, record_vectors
 from flowsift.schema import CATEGORICAL, LABEL_NAMES, MODEL_RUN
 from flowsift.session import spread, written
 
@@ -171,9 +172,20 @@ def train_record_forest(
     return PipelineModel([*stages, forest, tidy])
 
 
+def train_sparse_forest(
+    m: DataFrame, trees: int = 100, depth: int = MAX_DEPTH, seed: int = 42, id_col: str = "id"
+) -> SparseForest:
+    """Forest on decoded records with any number of keys; all values are read as numbers, as with 'zero'."""
+    keys = record_dictionary(m, id_col)
+    known = record_vectors(m, keys, id_col).where(F.col("label").isNotNull())
+    return SparseForest(keys, _forest(trees, depth, seed).fit(known.withColumn("label", F.col("label").cast("double"))), id_col)
+
+
 def forest_of(model: Any) -> RandomForestClassificationModel | NodeForest:
     if isinstance(model, PipelineModel):
         return next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
+    if isinstance(model, SparseForest):
+        return model.forest
     return model
 
 

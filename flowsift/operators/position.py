@@ -12,7 +12,7 @@ import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, NumericType
 
 from flowsift.functions.text import bind
 from flowsift.session import written
@@ -128,10 +128,12 @@ def dense_position(
     span: KeyRange | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Consecutive position by a unique numeric column.
+    """Consecutive position by a unique numeric column; by any other kind of column see `ordered_position`.
 
     Ids without gaps, the normal state of the log, need arithmetic only.
     """
+    if not isinstance(df.schema[order_col].dataType, NumericType):
+        return ordered_position(df, [order_col], start, name)
     key = F.col(order_col)
     span = span or key_range(df, key)
     if _is_contiguous(df, order_col, span):
@@ -160,6 +162,19 @@ def number_rows(df: DataFrame, start: int = 1, name: str = "position") -> DataFr
     )
 
 
+def ordered_position(df: DataFrame, keys: list[str], start: int = 1, name: str = "position") -> DataFrame:
+    """Consecutive position by columns of any orderable kind; the last ones break ties.
+
+    Sampled splitters range-partition the rows, each range is sorted by itself, and the ranges'
+    row counts (one per range) give every range its first position. Rows with equal values in
+    all of `keys` are numbered in some order; a key with many rows is spread over ranges by
+    the columns behind it. A null in the first column is an error.
+    """
+    if not df.where(F.col(keys[0]).isNull()).isEmpty():
+        raise ValueError("rows have no key to be ordered by")
+    return number_rows(df.repartitionByRange(*keys).sortWithinPartitions(*keys), start, name)
+
+
 def rows_at(
     df: DataFrame,
     order_col: str,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowsift import functions as fn
 from flowsift import schema
 from flowsift.fixtures import FOREST_FEATURES, forest_nodes, forest_sql, table, view, view_sql
-from flowsift.operators import features, flows, forest, grid, metrics, nodes, position, prep, sample, split, stats
+from flowsift.operators import features, flows, forest, grid, metrics, nodes, position, prep, sample, sparse, split, stats
 from flowsift.plans.dashboard import sampled_type_stats
 from flowsift.plans.offline import prepare_matrix
 from flowsift.session import fresh_path, spread, written
@@ -611,6 +611,22 @@ def records_to_features(spark, sf):
     return features.records_to_features(_flow_m(spark, sf))
 
 
+@query(
+    "records_to_sparse_features",
+    f"""
+SELECT id, k AS key, n AS value FROM (SELECT id, k, {_number_sql("v")} AS n FROM flow_entries WHERE k NOT IN ('id', 'label', 'attack_cat'))
+WHERE n <> 0""",
+    ("fx_flow_records", "flow_entries"),
+)
+def records_to_sparse_features(spark, sf):
+    """The numbers in sparse vectors, by the key of their slot."""
+    m = _flow_m(spark, sf)
+    keys = sparse.record_dictionary(m)
+    features_ = sparse.record_slots(m, keys)
+    cells = features_.select("id", F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
+    return cells.join(keys, F.col("c.indices") == F.col("slot")).select("id", "key", F.col("c.values").alias("value"))
+
+
 @query(
     "feature_align",
     f"SELECT id, label, {_number_sql('rate')} AS rate, CAST(0 AS DOUBLE) AS ttl, {_number_sql('dur')} AS dur FROM wide",
@@ -960,6 +976,16 @@ def block_sample(spark, sf):
     return sample.block_sample(_rec(spark, sf), threshold=900, block=100, max_blocks=50).select("id", "block")
 
 
+@query(
+    "dense_position_text",
+    "SELECT event_id, event_type, row_number() OVER (ORDER BY event_type, ts DESC, event_id) AS position FROM events",
+)
+def dense_position_text(spark, sf):
+    """By a text that many rows share, then a falling time, then the id."""
+    rows = _events(spark, sf).select("event_id", "event_type", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("falling"))
+    return position.ordered_position(rows, ["event_type", "falling", "event_id"]).drop("falling")
+
+
 @query(
     "offset_sample",
     """
@@ -1041,6 +1067,22 @@ def one_hot(spark, sf):
     return prep.one_hot(small, prep.fit_categories(small))
 
 
+@query(
+    "one_hot_sparse",
+    """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INT) AS priority_slot,
+       CAST(np + dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) AS INT) AS customer_slot, CAST(1 + np + nc AS INT) AS size
+FROM orders, (SELECT count(DISTINCT o_orderpriority) AS np, count(DISTINCT o_custkey) AS nc FROM orders)""",
+)
+def one_hot_sparse(spark, sf):
+    """A slot per priority and per customer, behind one number that is always 0."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.lit(0).alias("nothing"))
+    cats = sparse.category_dictionary(orders, ["o_orderpriority", "o_custkey"])
+    out = sparse.one_hot_slots(orders, ["nothing"], cats)
+    slots = F.col("features.indices")
+    return out.select("o_orderkey", slots[0].alias("priority_slot"), slots[1].alias("customer_slot"), F.col("features.size").alias("size"))
+
+
 @query("preprocess_fit_transform", _SCALED_SQL.format(columns=f"{_SCALED}, {_HOT_SQL}"), _SMALL_VIEWS)
 def preprocess_fit_transform(spark, sf):
     small = _small_written(spark, sf)
