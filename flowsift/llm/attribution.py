@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsift.llm.tokens import encode_texts, in_steps, load_tokenizer, token_bytes
+from flowsift.llm.tokens import Words, encode_texts, in_steps, load_tokenizer, token_bytes
 
 RULES = ("start", "end", "majority")
 _SECTIONS = "doc_id long, section long, start_char long, end_char long, n_tokens long, n_crossing long, doc_tokens long"
@@ -63,11 +63,11 @@ def section_tokens(
 
     def count(batches):
         tokenizer = load_tokenizer(tokenizer_path)
-        sizes = token_bytes(tokenizer)
+        sizes, words = token_bytes(tokenizer), Words(tokenizer)
         for batch in (step for whole in batches for step in in_steps(whole, 1)):
             parts: list[list[np.ndarray]] = [[] for _ in range(7)]
             texts = batch.column(1).to_pylist()
-            for row, (text, ids) in enumerate(zip(texts, encode_texts(tokenizer, batch.column(1)), strict=True)):
+            for row, (text, ids) in enumerate(zip(texts, encode_texts(words, batch.column(1)), strict=True)):
                 data = (text or "").encode()
                 ends = np.cumsum(sizes[ids])
                 starts = sections(text or "", data)

@@ -12,36 +12,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowsift.llm.common import store
-from flowsift.llm.tokens import encode_texts, in_steps, load_tokenizer
+from flowsift.llm.tokens import Words, encode_step, in_steps, load_tokenizer
 
 WINDOW = 2048
 END_OF_TEXT = 1
-_PIECES = (
-    "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
-    "continued boolean, continues boolean, ids binary"
-)
-
 
 def encode_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int = END_OF_TEXT) -> DataFrame:
     """(doc_id, part, before, n, ids): each document's ids and `end_id`, `before` counted inside partition `part`.
 
+    ids are little-endian unsigned 32-bit numbers.
+
     Written to the shared folder: a retried task of pass two reads what pass one has
     fixed, and nothing is encoded twice.
     """
 
     def encode(batches):
-        tokenizer, before = load_tokenizer(tokenizer_path), 0
+        words, before = Words(load_tokenizer(tokenizer_path)), 0
         for batch in (step for whole in batches for step in in_steps(whole, 1)):
-            ids = encode_texts(tokenizer, batch.column(1))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
+            flat, sizes = encode_step(words, batch.column(1), end_id)
             ends = np.cumsum(sizes)
-            flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-            for one, stop in zip(ids, ends, strict=True):
-                flat[stop - 1 - len(one) : stop - 1] = one
-                flat[stop - 1] = end_id
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
+            bounds = np.concatenate(([0], 4 * ends))
+            ids = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(flat.astype("<u4", copy=False))]
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(before + ends - sizes), pa.array(sizes), lists],
+                [batch.column(0), batch.column(2), pa.array(before + ends - sizes), pa.array(sizes), ids.cast(pa.binary())],
                 names=["doc_id", "part", "before", "n", "ids"],
             )
             before += int(ends[-1]) if len(ends) else 0
@@ -51,7 +46,7 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer_path
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         F.spark_partition_id().alias("part"),
     )
-    tokens = picked.mapInArrow(encode, "doc_id long, part int, before long, n long, ids array<int>")
+    tokens = picked.mapInArrow(encode, "doc_id long, part int, before long, n long, ids binary")
     return store(tokens, "tokens")[0]
 
 
@@ -82,28 +77,26 @@ def pack(
     id alone; null and repeated doc_ids keep rows of their own; no documents, no rows.
     """
 
-    def cut(batches):
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in (batch.column(1), batch.column(2))]
-            ids, (position, n) = batch.column(3), columns
-            first, last = position // window, (position + n - 1) // window
-            pieces = last - first + 1
-            row = np.repeat(np.arange(len(n)), pieces)
-            sequence = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + first[row]
-            begin = np.maximum(sequence * window, position[row])
-            stop = np.minimum((sequence + 1) * window, (position + n)[row])
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            base = ids.offsets.to_numpy()[:-1][row] - position[row]
-            cuts = [flat[a:b].tobytes() for a, b in zip(base + begin, base + stop, strict=True)]
-            start = begin - position[row]
-            arrays = [
-                batch.column(0).take(pa.array(row)), start, stop - begin, n[row], sequence, begin - sequence * window,
-                start > 0, stop < (position + n)[row], pa.array(cuts, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays],
-                names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "continued", "continues", "ids"],
-            )
-
     tokens = with_offsets(encode_documents(docs, id_col, text_col, tokenizer_path, end_id))
-    return tokens.select("doc_id", "position", "n", "ids").mapInArrow(cut, _PIECES)
+    position, n, w = F.col("position"), F.col("n"), F.lit(window)
+    number = lambda x: F.floor(x / w) if window & (window - 1) else F.shiftright(x, window.bit_length() - 1)
+
+    def piece(sequence):
+        begin = F.greatest(sequence * w, position) - position
+        stop = F.least((sequence + 1) * w, position + n) - position
+        return F.struct(
+            begin.alias("start"),
+            (stop - begin).alias("length"),
+            sequence.alias("sequence_id"),
+            (begin + position - sequence * w).alias("offset"),
+            (stop < n).alias("continues"),
+            F.substring("ids", (begin * 4 + 1).cast("int"), ((stop - begin) * 4).cast("int")).alias("ids"),
+        )
+
+    # The pieces are cut before the explode, so that a long document's ids are not repeated for each.
+    cut = F.transform(F.sequence(number(position), number(position + n - 1)), piece)
+    out = tokens.select("doc_id", F.col("n").alias("doc_tokens"), F.explode(cut).alias("p"))
+    return out.select(
+        "doc_id", "p.start", "p.length", "doc_tokens", "p.sequence_id", "p.offset",
+        (F.col("p.start") > 0).alias("continued"), "p.continues", "p.ids",
+    )

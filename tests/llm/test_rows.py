@@ -48,16 +48,24 @@ def reference_ids(text):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab é\n\t   \x1c'stre.1漢🙂")), max_size=40), max_size=6))
 def test_batch_encoding_equals_whole_texts(texts):
-    got = encode_texts(load_tokenizer(TOKENIZER), pa.array(texts, pa.string()))
+    got = encode_texts(tokens.Words(load_tokenizer(TOKENIZER)), pa.array(texts, pa.string()))
     assert [list(g) for g in got] == [reference_ids(t) for t in texts]
 
 
-def test_words_beyond_those_kept(monkeypatch):
-    monkeypatch.setattr(tokens, "WORDS", 3)
-    tokens._words.cache_clear()
-    for texts in (["a b a", "b a c"], ["c d e f a", "f f d"], ["g a", ""]):
-        assert [list(g) for g in encode_texts(load_tokenizer(TOKENIZER), pa.array(texts))] == [reference_ids(t) for t in texts]
-    tokens._words.cache_clear()
+@pytest.mark.parametrize("keep", [0, 600, 10**7])
+@pytest.mark.parametrize("join", [1, 7, 64_000])
+def test_words_beyond_those_kept(monkeypatch, keep, join):
+    monkeypatch.setattr(tokens, "JOIN_BYTES", join)
+    words = tokens.Words(load_tokenizer(TOKENIZER), keep)
+    for texts in (["a b a", "b a c"], ["c d e f a\n", "f f d ", " é\u2003"], ["g a", "", "x 漢字🙂 .1 's\u2029"]):
+        assert [list(g) for g in encode_texts(words, pa.array(texts))] == [reference_ids(t) for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab é\n\t \x1c'stre.1漢🙂")), max_size=30), max_size=6))
+def test_ids_with_ends(texts):
+    flat, sizes = tokens.encode_step(tokens.Words(load_tokenizer(TOKENIZER)), pa.array(texts, pa.string()), 1)
+    assert [p.tolist() for p in np.split(flat, np.cumsum(sizes)[:-1])][: len(texts)] == [[*reference_ids(t), 1] for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
