@@ -52,6 +52,10 @@ def require_split(rec: DataFrame) -> DataFrame:
     return rec
 
 
+#: Behind a dataset's name, the partition of its rejects; dataset names end in .db.
+REJECTS = ".rejects"
+
+
 def _csv_path(path: str) -> str:
     if not path.rstrip("/").endswith(".csv"):
         raise ValueError("file must be a CSV file")
@@ -99,8 +103,13 @@ def write_batch(
     ts: dt.datetime,
     order_col: str | None = None,
     position_col: str | None = None,
+    rejects: DataFrame | None = None,
 ) -> int:
-    """Write `row_data` rows as one batch in one commit; a repeated batch replaces itself."""
+    """Write `row_data` rows as one batch in one commit; a repeated batch replaces itself.
+
+    rejects: (row_data, reason) of lines that are no records. They go to the same table in the
+    same commit, in a partition that no dataset name can have; see `read_rejects`.
+    """
     spark = df.sparkSession
     numbered = number_records(df, next_id(spark, table, dataset, batch), order_col, position_col)
     rows = numbered.select(
@@ -111,6 +120,12 @@ def write_batch(
         F.lit(dataset).alias("dataset"),
         F.lit(batch).alias("batch"),
     )
+    if rejects is not None:
+        refused = rejects.select(
+            F.lit(None).cast("long").alias("id"), F.lit(ts).alias("upload_timestamp"), "row_data",
+            F.col("reason").alias("T"), F.lit(dataset + REJECTS).alias("dataset"), F.lit(batch).alias("batch"),
+        )
+        rows = rows.unionByName(refused)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -121,6 +136,12 @@ def write_batch(
     return written.count()
 
 
+def read_rejects(spark: SparkSession, table: str, dataset: str | None = None) -> DataFrame:
+    """(batch, upload_timestamp, line, reason) of every line of the dataset's streams that is no record."""
+    rows = read_log(spark, table).where(F.col("dataset") == dataset_name(spark, dataset) + REJECTS)
+    return rows.select("batch", "upload_timestamp", F.col("row_data").alias("line"), F.col("T").alias("reason"))
+
+
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc)
 
@@ -203,11 +224,11 @@ def relabel_dataset(
 
 
 def clear_dataset(spark: SparkSession, table: str, dataset: str | None = None) -> DataFrame:
-    """Delete the dataset's rows, so that ids start at 1 again; returns (rows_deleted)."""
+    """Delete the dataset's rows and rejects, so that ids start at 1 again; returns (rows_deleted)."""
     name = dataset_name(spark, dataset)
     n = dataset_scan(spark, table, dataset).count()
-    if n:
-        empty = spark.createDataFrame([], RECORDS).drop("dataset")
-        folder = os.path.join(table, f"dataset={name}")
-        empty.write.mode("overwrite").partitionBy("batch").parquet(folder)
+    for part, rows in ((name, n), (name + REJECTS, read_rejects(spark, table, dataset).count())):
+        if rows:
+            empty = spark.createDataFrame([], RECORDS).drop("dataset")
+            empty.write.mode("overwrite").partitionBy("batch").parquet(os.path.join(table, f"dataset={part}"))
     return spark.createDataFrame([(n,)], "rows_deleted long")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -106,8 +107,9 @@ def test_split_summary(spark):
     assert tuple(split.split_summary(spark.createDataFrame([], "T string")).first()) == (0, 0, 0, 0.0, 0.0)
 
 
-def test_published_split_sizes():
-    assert sum(split.allocate({0: 37_000, 1: 45_332}, 0.2).values()) == 16_467
+def test_published_split_sizes(spark):
+    counts = spark.createDataFrame([(0, 37_000), (1, 45_332)], "_g int, _c long")
+    assert split.allocate(counts, 0.2).agg(F.sum("_k")).first()[0] == 16_467
     assert int(82_332 * 0.3) == 82_332 - 57_633
 
 
@@ -200,3 +202,24 @@ def test_stratified_split_of_double_labels(spark):
 def test_two_blocks_reach_the_end(spark):
     blocks = sample.block_sample(spark.range(1, 2501), 1000, 1000, 50)
     assert blocks.agg(F.max("id")).first()[0] == 2500
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_stratified_split_of_many_classes(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(split, "BROADCAST_CLASSES", broadcast)
+    monkeypatch.setattr(split, "SMALL", 500)
+    own = F.when(F.col("id") < 20_000, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.floor(F.col("id") / 2).cast("string")))
+    df = spark.range(80_000).select("id", own.alias("y"), F.lit("kept").alias("_x"))
+    out = split.stratified_split(df, "y", 0.25, 3)
+    assert out.columns == ["id", "y", "_x", "split"]
+    rows = out.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("k")).collect()
+    assert sum(r.n for r in rows) == 80_000 and sum(r.k for r in rows) == 20_000 and len(rows) == 30_001
+    want = {}
+    for r in rows:  # largest remainder, in whole numbers
+        want[r.y] = divmod(60_000 * r.n, 80_000)
+    more = 60_000 - sum(q for q, _ in want.values())
+    lucky = set(sorted(want, key=lambda y: (-want[y][1], y))[:more])
+    assert all(r.k == r.n - want[r.y][0] - (r.y in lucky) for r in rows)
+    hot = sorted((hashlib.md5(f"3:{i}".encode()).hexdigest(), i) for i in range(20_000))
+    chosen = {r.id for r in out.where("y = 'hot' AND split = 'test'").collect()}
+    assert chosen == {i for _, i in hot[: len(chosen)]}

@@ -1,4 +1,6 @@
 import datetime as dt
+import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,6 +180,42 @@ def test_stream_equals_batch(spark, tmp_path):
     assert records.dataset_scan(spark, table, "j").count() == 20
 
 
+def test_stream_keeps_rejects_in_the_same_commit(spark, tmp_path):
+    source, table, offsets = tmp_path / "json", str(tmp_path / "log"), str(tmp_path / "offsets")
+    source.mkdir()
+
+    def run():
+        query = ingest_stream(spark, str(source), table, offsets, "j", fmt="json")
+        query.awaitTermination()
+        return [p["observedMetrics"]["arrived"] for p in map(dict_of, query.recentProgress) if "arrived" in p["observedMetrics"]]
+
+    (source / "a.json").write_text('{"v":1}\n{bad\n\n  \n{}\n[1]\n"text"\n{"v":2} x\n{"v":3}\n')
+    first = [m for m in run() if m["lines"]]
+    assert [(m["lines"], m["stored"], m["rejected"]) for m in first] == [(7, 2, 5)]
+    rejects = {r.line: r.reason for r in records.read_rejects(spark, table, "j").collect()}
+    assert rejects == {
+        "{bad": "no JSON object", "{}": "empty object", "[1]": "no JSON object", '"text"': "no JSON object",
+        '{"v":2} x': "no JSON object",
+    }
+    assert sorted(r.id for r in records.dataset_scan(spark, table, "j").collect()) == [1, 2]
+
+    (source / "b.json").write_text("nothing\n")
+    run()
+    last = max(os.listdir(offsets + "/commits"), key=lambda n: int(n) if n.isdigit() else -1)
+    for name in (last, f".{last}.crc"):  # the batch was written, its commit was not: it is run again
+        if os.path.exists(f"{offsets}/commits/{name}"):
+            os.replace(f"{offsets}/commits/{name}", str(tmp_path / f"lost{name}"))
+    run()
+    assert records.read_rejects(spark, table, "j").count() == 6
+    assert records.dataset_scan(spark, table, "j").count() == 2
+    assert records.clear_dataset(spark, table, "j").first()[0] == 2
+    assert records.read_rejects(spark, table, "j").count() == 0
+
+
+def dict_of(progress):
+    return progress if isinstance(progress, dict) else json.loads(progress.json)
+
+
 def test_type_statistics_edges(spark):
     texts = ['{"type":"a"}', '{"type":"a"}', '{"TYPE":" b "}', '{"type":"nan"}', "{bad", '{"x":1}']
     rec = log_of(spark, texts, ["training", "TESTING", None, "training", "testing", "testing"])
