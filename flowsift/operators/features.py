@@ -8,12 +8,19 @@ from flowsift.functions import parse_number
 from flowsift.schema import RECORD_NOT_FEATURES
 
 
+#: Keys that become columns; more are an error, and `operators.sparse` takes any number.
+MAX_KEYS = 20_000
+
+
 def record_keys(m: DataFrame, order_col: str = "id") -> list[str]:
-    """Every key of the log, in order of first appearance. Keys become columns, so they are few."""
+    """Every key of the log, in order of first appearance; more than MAX_KEYS are an error."""
     # The outer form, as the plain one would have every document parsed for an emptiness filter too.
     keys = m.select(order_col, F.posexplode_outer(F.map_keys("data")).alias("pos", "key"))
     first = keys.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct(order_col, "pos")).alias("seen"))
-    return [r["key"] for r in first.orderBy("seen").collect()]
+    found = first.orderBy("seen").limit(MAX_KEYS + 1).collect()
+    if len(found) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} keys cannot become columns: use the sparse form")
+    return [r["key"] for r in found]
 
 
 def column_names(keys: list[str]) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from flowsift.operators.sparse import category_dictionary
 from flowsift.schema import CATEGORICAL
 
 SMALL = 200_000  # rows per column an exact aggregate may hold
@@ -166,16 +167,27 @@ def fit_categories(df: DataFrame, cols: list[str] = CATEGORICAL) -> DataFrame:
     return values.select("col", pos.alias("pos"), "value")
 
 
+#: Categories that become columns; more are an error, and `operators.sparse` takes any number.
+MAX_CATEGORIES = 50_000
+
+
+def _fitted(cats: DataFrame) -> list[Row]:
+    rows = cats.orderBy("col", "pos").limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories cannot become columns: use the sparse form")
+    return rows
+
+
 def _categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in fit_categories(df, cols).orderBy("col", "pos").collect():
+    for r in _fitted(fit_categories(df, cols)):
         out[r["col"]].append(r["value"])
     return out
 
 
 def one_hot(df: DataFrame, cats: DataFrame, cols: list[str] = CATEGORICAL) -> DataFrame:
     """Add an int column `col_value` per fitted category; a value not fitted is 0 everywhere."""
-    rows = cats.orderBy("col", "pos").collect()  # one row per output column
+    rows = _fitted(cats)  # one row per output column
     return df.withColumns(
         {
             f"{c}_{r['value']}": (F.coalesce(F.col(c), F.lit("unknown")) == r["value"]).cast("int")
@@ -187,10 +199,15 @@ def one_hot(df: DataFrame, cats: DataFrame, cols: list[str] = CATEGORICAL) -> Da
 
 
 def feature_names(flows: DataFrame, numeric: list[str], categorical: list[str] = CATEGORICAL) -> DataFrame:
-    """(pos, name) of the output features: numbers first, then `col_value` per category."""
-    cats = _categories(flows, categorical)
-    names = list(numeric) + [f"{c}_{v}" for c in categorical for v in cats[c]]
-    return flows.sparkSession.createDataFrame(list(enumerate(names)), "pos int, name string")
+    """(pos, name) of the output features: numbers first, then `col_value` per category, however many there are."""
+    names = flows.sparkSession.createDataFrame(list(enumerate(numeric)), "pos int, name string")
+    first = len(numeric)
+    for c, keys in category_dictionary(flows, categorical).items():
+        names = names.unionByName(
+            keys.select((F.col("slot") + F.lit(first)).alias("pos"), F.concat(F.lit(f"{c}_"), "key").alias("name"))
+        )
+        first += keys.count()
+    return names
 
 
 def _sql_literal(value: float) -> str:

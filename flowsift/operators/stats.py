@@ -27,16 +27,23 @@ def record_kpis(rec: DataFrame) -> DataFrame:
     )
 
 
-def typed_counts(rec: DataFrame) -> DataFrame:
-    """(type, n, n_training, n_testing, n_parsed, n_rows); the null type holds untyped rows.
+COUNTS = ["n", "n_training", "n_testing", "n_parsed", "n_rows"]
 
-    Rows are dropped only after the aggregation: a filter on the type would make
-    the scan parse every document twice.
+
+def typed_counts(rec: DataFrame, *by: str) -> DataFrame:
+    """(type, n, n_training, n_testing, n_parsed, n_rows), per value of `by`; the null type holds untyped rows.
+
+    Counts of parts of a log add up to those of the whole; a table of such counts is returned as
+    it is, so every statistic takes one in place of rows.
     """
+    if set(COUNTS) <= set(rec.columns):
+        return rec
+    # Rows are dropped only after the aggregation: a filter on the type would make
+    # the scan parse every document twice.
     split = F.lower("T")
-    typed = spread(rec.select("row_data", "T")).withColumn("data", parse_document("row_data"))
-    typed = typed.select(normalise_type(type_of("data")).alias("type"), split.alias("T"), "data")
-    return typed.groupBy("type").agg(
+    typed = spread(rec.select(*by, "row_data", "T")).withColumn("data", parse_document("row_data"))
+    typed = typed.select(*by, normalise_type(type_of("data")).alias("type"), split.alias("T"), "data")
+    return typed.groupBy(*by, "type").agg(
         F.count("type").alias("n"),
         F.count(F.when(F.col("T") == TRAINING, F.col("type"))).alias("n_training"),
         F.count(F.when(F.col("T") == TESTING, F.col("type"))).alias("n_testing"),
@@ -45,6 +52,11 @@ def typed_counts(rec: DataFrame) -> DataFrame:
     )
 
 
+def add_counts(parts: DataFrame) -> DataFrame:
+    """Counts of several parts of a log as those of the whole."""
+    return parts.groupBy("type").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
 def _counts_once(rec: DataFrame) -> DataFrame:
     """Typed counts to be read for rows and for totals; the documents are parsed once."""
     return written(typed_counts(rec), "types")

@@ -6,6 +6,7 @@ tables by name; queries that SQL cannot express (fitted forests) have none.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
@@ -821,6 +822,23 @@ def sampled_type_stats_(spark, sf):
     return sampled_type_stats(_rec(spark, sf), threshold=900, block=100, max_blocks=50)
 
 
+@query(
+    "type_stats_of_batches",
+    """
+SELECT type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct,
+       (SELECT count(*) FROM fx_records WHERE json_valid(row_data)) AS sample_size, (SELECT count(*) FROM fx_records) AS total_rows
+FROM typed WHERE type IS NOT NULL GROUP BY type""",
+    _TYPED,
+)
+def type_stats_of_batches(spark, sf):
+    """A log of three batches, two with counts of their own and one that has to be parsed."""
+    log, rec = fresh_path(spark, "log"), _rec(spark, sf).select("id", "row_data")
+    now = dt.datetime.now(dt.timezone.utc)
+    for i in range(3):
+        records.write_batch(rec.where(F.col("id") % 3 == i), log, "lab.db", f"b{i}", now, "id", count_types=i < 2)
+    return stats.type_stats(records.log_type_counts(spark, log, "lab")).drop("n_training", "n_testing")
+
+
 @query(
     "type_ranking",
     "SELECT row_number() OVER (ORDER BY count(*) DESC, type) AS rank, type, count(*) AS n FROM typed WHERE type IS NOT NULL GROUP BY type",

@@ -13,6 +13,7 @@ from flowsift.functions import dataset_id
 from flowsift.operators.features import column_names
 from flowsift.operators.position import dense_position, number_rows
 from flowsift.operators.split import assign_split
+from flowsift.operators.stats import COUNTS, add_counts, typed_counts
 from flowsift.schema import RECORDS, TESTING, TRAINING
 from flowsift.session import written
 from flowsift.sources.csv_lines import row_document, scan_records
@@ -52,8 +53,9 @@ def require_split(rec: DataFrame) -> DataFrame:
     return rec
 
 
-#: Behind a dataset's name, the partition of its rejects; dataset names end in .db.
-REJECTS = ".rejects"
+#: Behind a dataset's name, the partitions of its rejects and type counts; dataset names end in .db.
+REJECTS, TYPES = ".rejects", ".types"
+_TYPE_COUNTS = ", ".join(["type string", *[f"{c} long" for c in COUNTS]])
 
 
 def _csv_path(path: str) -> str:
@@ -104,11 +106,13 @@ def write_batch(
     order_col: str | None = None,
     position_col: str | None = None,
     rejects: DataFrame | None = None,
+    count_types: bool = True,
 ) -> int:
     """Write `row_data` rows as one batch in one commit; a repeated batch replaces itself.
 
     rejects: (row_data, reason) of lines that are no records. They go to the same table in the
-    same commit, in a partition that no dataset name can have; see `read_rejects`.
+    same commit, in a partition that no dataset name can have; see `read_rejects`. So do the
+    batch's type counts (`log_type_counts`), unless count_types is off.
     """
     spark = df.sparkSession
     numbered = number_records(df, next_id(spark, table, dataset, batch), order_col, position_col)
@@ -120,6 +124,9 @@ def write_batch(
         F.lit(dataset).alias("dataset"),
         F.lit(batch).alias("batch"),
     )
+    if count_types:
+        rows = written(rows, "batch")  # read for the rows and for their counts
+        rows = rows.unionByName(_type_rows(rows))
     if rejects is not None:
         refused = rejects.select(
             F.lit(None).cast("long").alias("id"), F.lit(ts).alias("upload_timestamp"), "row_data",
@@ -132,8 +139,34 @@ def write_batch(
         .partitionBy("dataset", "batch")
         .parquet(table)
     )
-    written = read_log(spark, table).where((F.col("dataset") == dataset) & (F.col("batch") == batch))
-    return written.count()
+    stored = read_log(spark, table).where((F.col("dataset") == dataset) & (F.col("batch") == batch))
+    return stored.count()
+
+
+def _type_rows(rows: DataFrame) -> DataFrame:
+    """The type counts of every (dataset, batch) of log rows, as rows of the log."""
+    counts = typed_counts(rows, "dataset", "batch", "upload_timestamp")
+    document = F.to_json(F.struct("type", *COUNTS))
+    return counts.select(
+        F.lit(None).cast("long").alias("id"), "upload_timestamp", document.alias("row_data"), F.lit(None).cast("string").alias("T"),
+        F.concat("dataset", F.lit(TYPES)).alias("dataset"), "batch",
+    )
+
+
+def log_type_counts(spark: SparkSession, table: str, dataset: str | None = None) -> DataFrame:
+    """Type counts of a dataset, for any of the type statistics, from the counts stored with its batches.
+
+    Only batches without stored counts are parsed; their names come to the driver, no row does.
+    """
+    name, log = dataset_name(spark, dataset), read_log(spark, table)
+    stored = log.where(F.col("dataset") == name + TYPES)
+    batches = log.where(F.col("dataset") == name).select("batch").distinct()
+    missing = [r["batch"] for r in batches.join(stored.select("batch").distinct(), "batch", "left_anti").collect()]
+    counts = stored.select(F.from_json("row_data", _TYPE_COUNTS).alias("c")).select("c.*")
+    if missing:
+        parsed = typed_counts(log.where((F.col("dataset") == name) & F.col("batch").isin(missing)))
+        counts = counts.unionByName(parsed)
+    return add_counts(counts)
 
 
 def read_rejects(spark: SparkSession, table: str, dataset: str | None = None) -> DataFrame:
@@ -215,7 +248,7 @@ def relabel_dataset(
     """
     rows = written(assign_split(dataset_scan(spark, table, dataset), frac, seed), "labelled")
     (
-        rows.write.mode("overwrite")
+        rows.unionByName(_type_rows(rows)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dataset", "batch")
         .parquet(table)
@@ -224,11 +257,11 @@ def relabel_dataset(
 
 
 def clear_dataset(spark: SparkSession, table: str, dataset: str | None = None) -> DataFrame:
-    """Delete the dataset's rows and rejects, so that ids start at 1 again; returns (rows_deleted)."""
+    """Delete the dataset's rows, rejects and type counts, so that ids start at 1 again; returns (rows_deleted)."""
     name = dataset_name(spark, dataset)
     n = dataset_scan(spark, table, dataset).count()
-    for part, rows in ((name, n), (name + REJECTS, read_rejects(spark, table, dataset).count())):
-        if rows:
+    for part in (name, name + REJECTS, name + TYPES):
+        if not read_log(spark, table).where(F.col("dataset") == part).isEmpty():
             empty = spark.createDataFrame([], RECORDS).drop("dataset")
             empty.write.mode("overwrite").partitionBy("batch").parquet(os.path.join(table, f"dataset={part}"))
     return spark.createDataFrame([(n,)], "rows_deleted long")

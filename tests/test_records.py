@@ -216,6 +216,37 @@ def dict_of(progress):
     return progress if isinstance(progress, dict) else json.loads(progress.json)
 
 
+def test_type_counts_of_batches(spark, tmp_path):
+    table = str(tmp_path / "log")
+    texts = ['{"type":"a"}', '{"type":"a"}', '{"TYPE":" b "}', '{"type":"nan"}', "{bad", '{"x":1}', '{"type":"c \\"q\\""}']
+
+    def add(batch, rows, **more):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "n long, row_data string")
+        records.write_batch(df, table, "lab.db", batch, NOW, "n", **more)
+
+    def check():
+        whole = stats.type_stats(records.dataset_scan(spark, table, "lab")).orderBy("type").collect()
+        counts = records.log_type_counts(spark, table, "lab")
+        assert stats.type_stats(counts).orderBy("type").collect() == whole
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        return whole, {part for part in ("lab.db", "lab.db.types") if f"= {part})" in plan}  # partitions that are scanned
+
+    add("one", texts)
+    add("old", texts[:3], count_types=False)
+    whole, read = check()
+    assert {(r["type"], r["n"]) for r in whole} == {("a", 4), ("b", 2), ("c \"q\"", 1)} and read == {"lab.db", "lab.db.types"}
+    records.relabel_dataset(spark, table, "lab", seed=1)
+    whole, read = check()
+    assert sum(r["n_training"] + r["n_testing"] for r in whole) == 7 and read == {"lab.db.types"}  # no row is parsed
+    add("one", texts[:2])  # a repeated batch replaces rows and counts
+    whole, read = check()
+    assert {(r["type"], r["n"]) for r in whole} == {("a", 4), ("b", 1)} and read == {"lab.db.types"}
+    assert records.clear_dataset(spark, table, "lab").first()[0] == 5
+    assert records.log_type_counts(spark, table, "lab").count() == 0
+    add("new", texts[2:3])
+    assert [(r["type"], r["n"]) for r in check()[0]] == [("b", 1)]
+
+
 def test_type_statistics_edges(spark):
     texts = ['{"type":"a"}', '{"type":"a"}', '{"TYPE":" b "}', '{"type":"nan"}', "{bad", '{"x":1}']
     rec = log_of(spark, texts, ["training", "TESTING", None, "training", "testing", "testing"])

@@ -93,3 +93,15 @@ def test_positions_by_text_time_and_repeated_keys(spark, partitions):
     with pytest.raises(ValueError, match="no key"):
         position.ordered_position(df.unionByName(spark.createDataFrame([(1, None, 1.0)], df.schema)), ["t"])
     assert position.ordered_position(df.limit(0), ["t"]).count() == 0
+
+
+def test_too_many_columns_are_refused(spark, monkeypatch):
+    m = spark.createDataFrame([(1, {"label": "1", "a": "1", "b": "2"})], "id long, data map<string,string>")
+    monkeypatch.setattr(features, "MAX_KEYS", 2)
+    with pytest.raises(ValueError, match="sparse"):
+        features.record_keys(m)
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "proto string")
+    assert [r.name for r in prep.feature_names(df, ["x"], ["proto"]).orderBy("pos").collect()] == ["x", "proto_a", "proto_b", "proto_c"]
+    monkeypatch.setattr(prep, "MAX_CATEGORIES", 2)
+    with pytest.raises(ValueError, match="sparse"):
+        prep.one_hot(df, prep.fit_categories(df, ["proto"]), ["proto"])
