@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsift.llm.common import fresh_name, store, with_salt
+from flowsift.llm.tokens import in_steps
 
 BUCKETS = 1 << 15
 SLICE = 1 << 20  # characters in one numpy step
@@ -106,19 +108,22 @@ def fit_text_model(labelled: DataFrame, text_col: str, lang_col: str, settings:
 def text_evidence(text: Column, model: np.ndarray, settings: Settings) -> Column:
     """struct(n_grams, loglik): letters' trigrams and their mean log-likelihood times the evidence that counts."""
 
-    @F.pandas_udf("struct<n_grams:long,loglik:array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<n_grams:long,loglik:array<double>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = []
-            for text in texts:
-                n, total = 0, np.zeros(model.shape[1])
-                for piece in _slices(text or ""):
-                    buckets = trigram_buckets(piece)
-                    n += len(buckets)
-                    total += model[buckets].sum(axis=0, dtype=np.float64)
-                scale = min(n, settings.evidence) / max(n, 1)
-                rows.append((n, (total * scale).tolist()))
-            yield pd.DataFrame(rows, columns=["n_grams", "loglik"])
+            counts, logliks = [], []
+            for step in in_steps(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):  # bounded in bytes
+                for text in step.column(0).to_pylist():
+                    n, total = 0, np.zeros(model.shape[1])
+                    for piece in _slices(text or ""):
+                        buckets = trigram_buckets(piece)
+                        n += len(buckets)
+                        total += model[buckets].sum(axis=0, dtype=np.float64)
+                    counts.append(n)
+                    logliks.append((total * (min(n, settings.evidence) / max(n, 1))).tolist())
+            yield pa.StructArray.from_arrays(
+                [pa.array(counts, pa.int64()), pa.array(logliks, pa.list_(pa.float64()))], names=["n_grams", "loglik"]
+            )
 
     return run(text)
 

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsift.llm.common import fresh_name
+from flowsift.llm.tokens import in_steps
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -115,15 +116,19 @@ FIELDS = (
     "ratio double, n_chunks long, n_bad_chunks long, base_failed boolean, kept boolean"
 )
 _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
+_KINDS = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.split()[1]] for f in FIELDS.split(", ")]
 
 
 def assess(text: Column, bands: Bands = Bands()) -> Column:
     """The figures and the verdict of a text column as one struct; a null text has no words and fails."""
 
-    @F.pandas_udf(f"struct<{FIELDS.replace(' ', ':').replace(',:', ',')}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(f"struct<{FIELDS.replace(' ', ':').replace(',:', ',')}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame([measure(t, bands) for t in texts], columns=_NAMES)
+            steps = in_steps(pa.RecordBatch.from_arrays([texts], names=["text"]), 0)  # bounded in bytes
+            columns = zip(*(measure(t, bands) for step in steps for t in step.column(0).to_pylist()), strict=True)
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=False)] or [pa.nulls(0, k) for k in _KINDS]
+            yield pa.StructArray.from_arrays(arrays, names=_NAMES)
 
     return run(text)
 
