@@ -11,7 +11,7 @@ import itertools
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
 from flowsift.functions.text import bind
@@ -256,14 +256,21 @@ def page(
 
     A client that walks pages can pass the table's key range, which saves counting it each time.
     """
-    limit = default if limit < 1 else limit
-    limit = min(limit, cap) if cap else limit
-    offset = max(offset, 0)
+    limit, offset = page_bounds(limit, offset, default, cap)
     span = span or key_range(df, F.col(order_col))
     rows = rows_at(df, order_col, [(offset, limit)], span, bucket_rows)
-    returned = max(0, min(limit, span.rows - offset))
-    info = df.sparkSession.createDataFrame(
-        [(span.rows, returned, limit, offset, offset + returned < span.rows)],
+    return Page(rows.drop("position", "block").orderBy(order_col), page_info(df.sparkSession, span.rows, limit, offset))
+
+
+def page_bounds(limit: int, offset: int, default: int = 1000, cap: int | None = None) -> tuple[int, int]:
+    """The limit and offset that count: a limit below 1 is the default, an offset below 0 is 0."""
+    limit = default if limit < 1 else limit
+    return min(limit, cap) if cap else limit, max(offset, 0)
+
+
+def page_info(spark: SparkSession, total: int, limit: int, offset: int) -> DataFrame:
+    returned = max(0, min(limit, total - offset))
+    return spark.createDataFrame(
+        [(total, returned, limit, offset, offset + returned < total)],
         "total_rows long, returned_rows long, limit long, offset long, has_more boolean",
     )
-    return Page(rows.drop("position", "block").orderBy(order_col), info)

@@ -985,6 +985,26 @@ def type_sample(spark, sf):
     return sample.type_sample(_m(spark, sf))
 
 
+@query(
+    "log_page",
+    """
+SELECT id, k FROM (SELECT event_id + 1 AS id, json_extract_string(props, '$.k') AS k FROM events)
+ORDER BY id LIMIT 700 OFFSET (SELECT count(*) * 9 // 10 FROM events)""",
+)
+def log_page(spark, sf):
+    """A deep page of a log of eight batches; files of one or two of them are read."""
+    log, events = fresh_path(spark, "log"), _events(spark, sf).select("event_id", F.col("props").alias("row_data"))
+    n, now = events.count(), dt.datetime.now(dt.timezone.utc)
+    batch = F.concat(F.lit("b"), F.floor(F.col("event_id") * 8 / n).cast("string")).alias("batch")
+    rows = events.select(
+        (F.col("event_id") + 1).alias("id"), F.lit(now).alias("upload_timestamp"), "row_data",
+        F.lit(None).cast("string").alias("T"), F.lit("lab.db").alias("dataset"), batch,
+    )
+    rows.write.partitionBy("dataset", "batch").parquet(log)
+    found = records.log_page(spark, log, "lab", 700, n * 9 // 10).rows
+    return decode_records(found).select("id", F.col("data")["k"].alias("k"))
+
+
 @query(
     "block_sample",
     "SELECT id, block FROM picked",

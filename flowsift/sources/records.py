@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsift.functions import dataset_id
 from flowsift.operators.features import column_names
-from flowsift.operators.position import dense_position, number_rows
+from flowsift.operators.position import KeyRange, Page, dense_position, number_rows, page, page_bounds, page_info
 from flowsift.operators.split import assign_split
 from flowsift.operators.stats import COUNTS, add_counts, typed_counts
 from flowsift.schema import RECORDS, TESTING, TRAINING
@@ -53,8 +53,9 @@ def require_split(rec: DataFrame) -> DataFrame:
     return rec
 
 
-#: Behind a dataset's name, the partitions of its rejects and type counts; dataset names end in .db.
-REJECTS, TYPES = ".rejects", ".types"
+#: Behind a dataset's name, the partitions of its rejects, type counts and id ranges; dataset names end in .db.
+REJECTS, TYPES, INDEX = ".rejects", ".types", ".index"
+_RANGE = ("min(id) AS low", "max(id) AS high", "count(*) AS n")
 _TYPE_COUNTS = ", ".join(["type string", *[f"{c} long" for c in COUNTS]])
 
 
@@ -112,7 +113,7 @@ def write_batch(
 
     rejects: (row_data, reason) of lines that are no records. They go to the same table in the
     same commit, in a partition that no dataset name can have; see `read_rejects`. So do the
-    batch's type counts (`log_type_counts`), unless count_types is off.
+    batch's type counts (`log_type_counts`), unless count_types is off, and its range of ids.
     """
     spark = df.sparkSession
     numbered = number_records(df, next_id(spark, table, dataset, batch), order_col, position_col)
@@ -124,9 +125,10 @@ def write_batch(
         F.lit(dataset).alias("dataset"),
         F.lit(batch).alias("batch"),
     )
+    plain = written(rows, "batch")  # read for the rows, their counts and their ids
+    rows = plain.unionByName(_index_rows(plain))
     if count_types:
-        rows = written(rows, "batch")  # read for the rows and for their counts
-        rows = rows.unionByName(_type_rows(rows))
+        rows = rows.unionByName(_type_rows(plain))
     if rejects is not None:
         refused = rejects.select(
             F.lit(None).cast("long").alias("id"), F.lit(ts).alias("upload_timestamp"), "row_data",
@@ -169,6 +171,61 @@ def log_type_counts(spark: SparkSession, table: str, dataset: str | None = None)
     return add_counts(counts)
 
 
+def _index_rows(rows: DataFrame) -> DataFrame:
+    """The range of ids and the number of rows of every (dataset, batch) of log rows, as rows of the log."""
+    ranges = rows.groupBy("dataset", "batch", "upload_timestamp").agg(*map(F.expr, _RANGE))
+    return ranges.select(
+        F.lit(None).cast("long").alias("id"), "upload_timestamp", F.to_json(F.struct("low", "high", "n")).alias("row_data"),
+        F.lit(None).cast("string").alias("T"), F.concat("dataset", F.lit(INDEX)).alias("dataset"), "batch",
+    )
+
+
+def log_index(spark: SparkSession, table: str, dataset: str | None = None) -> DataFrame:
+    """(batch, low, high, n): the range of ids of every batch; only the ids of batches without a stored one are read."""
+    name, log = dataset_name(spark, dataset), read_log(spark, table)
+    stored = log.where(F.col("dataset") == name + INDEX)
+    of_rows = log.where(F.col("dataset") == name)
+    known = stored.select("batch", F.from_json("row_data", "low long, high long, n long").alias("r")).select("batch", "r.*")
+    batches = of_rows.select("batch").distinct()
+    missing = [r["batch"] for r in batches.join(stored.select("batch").distinct(), "batch", "left_anti").collect()]
+    if missing:
+        known = known.unionByName(of_rows.where(F.col("batch").isin(missing)).groupBy("batch").agg(*map(F.expr, _RANGE)))
+    return known.where("n > 0")
+
+
+def log_page(
+    spark: SparkSession, table: str, dataset: str | None, limit: int, offset: int, default: int = 1000, cap: int | None = None
+) -> Page:
+    """One page of a dataset by id, however deep and whatever gaps its ids have.
+
+    The index, one row per batch on the driver, tells which batches the page touches; only
+    their files are read. Batches whose ids overlap are taken together.
+    """
+    limit, offset = page_bounds(limit, offset, default, cap)
+    groups: list[list] = []  # low, high, rows, batches
+    for r in log_index(spark, table, dataset).orderBy("low").collect():
+        if groups and r["low"] <= groups[-1][1]:
+            last = groups[-1]
+            last[1], last[2] = max(last[1], r["high"]), last[2] + r["n"]
+            last[3].append(r["batch"])
+        else:
+            groups.append([r["low"], r["high"], r["n"], [r["batch"]]])
+    total, at, skipped, touched = sum(g[2] for g in groups), 0, 0, []
+    for g in groups:
+        if at < offset + limit and at + g[2] > offset:
+            touched.append(g)
+        elif not touched:
+            skipped = at + g[2]
+        at += g[2]
+    of_rows = dataset_scan(spark, table, dataset)
+    info = page_info(spark, total, limit, offset)
+    if not touched:
+        return Page(of_rows.where(F.lit(False)), info)
+    span = KeyRange(touched[0][0], touched[-1][1], sum(g[2] for g in touched))
+    near = of_rows.where(F.col("batch").isin([b for g in touched for b in g[3]]))
+    return Page(page(near, limit, offset - skipped, span=span).rows, info)
+
+
 def read_rejects(spark: SparkSession, table: str, dataset: str | None = None) -> DataFrame:
     """(batch, upload_timestamp, line, reason) of every line of the dataset's streams that is no record."""
     rows = read_log(spark, table).where(F.col("dataset") == dataset_name(spark, dataset) + REJECTS)
@@ -248,7 +305,7 @@ def relabel_dataset(
     """
     rows = written(assign_split(dataset_scan(spark, table, dataset), frac, seed), "labelled")
     (
-        rows.unionByName(_type_rows(rows)).write.mode("overwrite")
+        rows.unionByName(_type_rows(rows)).unionByName(_index_rows(rows)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dataset", "batch")
         .parquet(table)
@@ -257,10 +314,10 @@ def relabel_dataset(
 
 
 def clear_dataset(spark: SparkSession, table: str, dataset: str | None = None) -> DataFrame:
-    """Delete the dataset's rows, rejects and type counts, so that ids start at 1 again; returns (rows_deleted)."""
+    """Delete the dataset's rows and what is stored beside them, so that ids start at 1 again; returns (rows_deleted)."""
     name = dataset_name(spark, dataset)
     n = dataset_scan(spark, table, dataset).count()
-    for part in (name, name + REJECTS, name + TYPES):
+    for part in (name, name + REJECTS, name + TYPES, name + INDEX):
         if not read_log(spark, table).where(F.col("dataset") == part).isEmpty():
             empty = spark.createDataFrame([], RECORDS).drop("dataset")
             empty.write.mode("overwrite").partitionBy("batch").parquet(os.path.join(table, f"dataset={part}"))

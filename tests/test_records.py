@@ -247,6 +247,32 @@ def test_type_counts_of_batches(spark, tmp_path):
     assert [(r["type"], r["n"]) for r in check()[0]] == [("b", 1)]
 
 
+def test_deep_pages_of_a_gapped_log(spark, tmp_path):
+    table = str(tmp_path / "log")
+    ids = [i * 7 for i in range(300)] + [10**6 + i for i in range(200)] + [10**9 + i * i for i in range(300)]
+    rows = [(i, NOW, f'{{"v":{i}}}', None, "lab.db", f"b{n // 100}") for n, i in enumerate(ids)]
+    rows += [(3, NOW, "{}", None, "lab.db", "b9"), (10**6 + 500, NOW, "{}", None, "lab.db", "b9")]  # overlaps several batches
+    spark.createDataFrame(rows, records.RECORDS).write.partitionBy("dataset", "batch").parquet(table)
+    order = sorted(r[0] for r in rows)
+    for offset, limit in ((0, 10), (95, 230), (500, 100), (640, 70), (795, 50), (5000, 10), (-3, 0)):
+        found = records.log_page(spark, table, "lab", limit, offset, default=5)
+        want = order[max(offset, 0) :][: limit or 5]
+        assert [r["id"] for r in found.rows.collect()] == want
+        info = found.info.first()
+        assert (info["total_rows"], info["returned_rows"]) == (802, len(want))
+        assert info["has_more"] == (max(offset, 0) + len(want) < 802)
+    plan = records.log_page(spark, table, "lab", 10, 790).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "b7" in plan and "b6" not in plan
+
+    more = spark.createDataFrame([(i, "{}") for i in range(50)], "n long, row_data string")
+    assert records.write_batch(more, table, "lab.db", "next", NOW, "n") == 50
+    index = {r["batch"]: (r["low"], r["high"], r["n"]) for r in records.log_index(spark, table, "lab").collect()}
+    top = max(order)
+    assert index["next"] == (top + 1, top + 50, 50) and len(index) == 10
+    assert [r["id"] for r in records.log_page(spark, table, "lab", 3, 849).rows.collect()] == [top + 48, top + 49, top + 50]
+    assert records.log_page(spark, table, "none", 3, 0).rows.count() == 0
+
+
 def test_type_statistics_edges(spark):
     texts = ['{"type":"a"}', '{"type":"a"}', '{"TYPE":" b "}', '{"type":"nan"}', "{bad", '{"x":1}']
     rec = log_of(spark, texts, ["training", "TESTING", None, "training", "testing", "testing"])
