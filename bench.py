@@ -64,7 +64,7 @@ def main() -> None:
         "threshold_sweep", "roc_auc", "classification_report", "random_split_exact",
         "stratified_split", "type_sample", "block_sample", "page", "dense_position",
         "drop_remainder", "median_impute", "standard_scale", "one_hot", "flow_csv_scan",
-        "record_ingest", "record_ingest_stream",
+        "record_ingest", "record_ingest_stream", "record_ingest_csv",
     ):
         warm(name, lambda: run(QUERIES[name](spark, SF_DIR)))
 
@@ -83,8 +83,10 @@ def main() -> None:
     once("rf_train_lineitem_20x8", lambda: forest.train_forest(vectors, 20, 8))
 
     m = decode_records(spread(view(spark, SF_DIR, "fx_flow_records")))
-    records_model = once("rf_train_records_100x30", lambda: forest.train_record_forest(m))
+    records_model = once("rf_train_records_100x30", lambda: forest.train_record_forest(m, depth=30))
     warm("predict_records", lambda: run(forest.predict(records_model, m)))
+    pure_model = once("rf_train_records_100_pure", lambda: forest.train_record_forest(m))
+    warm("predict_records_pure", lambda: run(forest.predict(pure_model, m)))
     rows = {"records": rec.count(), "scored": sc.count(), "train": train.count(), "lineitem": small.count()}
 
     print(

@@ -731,6 +731,24 @@ def valid_label(spark, sf):
     return features.valid_labels(features.records_to_features(_flow_m(spark, sf), []))
 
 
+@query(
+    "log_search",
+    """
+SELECT id, kind, who FROM (
+  SELECT row_number() OVER (ORDER BY event_type, event_id) AS id, event_type AS kind, concat('user-', CAST(user_id AS VARCHAR)) AS who FROM events)
+WHERE contains(lower(kind), 'chas')""",
+)
+def log_search(spark, sf):
+    """A log of a batch per kind of event, with text maps, searched for a part of a word."""
+    log, events, now = fresh_path(spark, "log"), _events(spark, sf), dt.datetime.now(dt.timezone.utc)
+    document = F.to_json(F.struct(F.col("event_type").alias("kind"), F.concat(F.lit("user-"), F.col("user_id")).alias("who")))
+    rows = written(events.select("event_id", "event_type", document.alias("row_data")), "documents")
+    for i, kind in enumerate(sorted(r[0] for r in rows.select("event_type").distinct().collect())):  # a few kinds of event
+        records.write_batch(rows.where(F.col("event_type") == kind).drop("event_type"), log, "lab.db", f"b{i}", now, "event_id", map_texts=True)
+    found = records.log_search(spark, log, "lab", "CHAS")
+    return found.select("id", *[F.col("data")[k].alias(k) for k in ("kind", "who")])
+
+
 @query(
     "any_column_search",
     """

@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsift.functions import dataset_id
 from flowsift.operators.features import column_names
+from flowsift.operators.grid import search_any
 from flowsift.operators.position import KeyRange, Page, dense_position, number_rows, page, page_bounds, page_info
 from flowsift.operators.split import assign_split
 from flowsift.operators.stats import COUNTS, add_counts, typed_counts
 from flowsift.schema import RECORDS, TESTING, TRAINING
 from flowsift.session import written
 from flowsift.sources.csv_lines import row_document, scan_records
-from flowsift.sources.decode import parse_document
+from flowsift.sources.decode import decode_records, parse_document
+from flowsift.sources.text_index import batches_with, text_maps, wanted_bits
 
 
 def dataset_name(spark: SparkSession, name: str | None) -> str:
@@ -53,8 +55,8 @@ def require_split(rec: DataFrame) -> DataFrame:
     return rec
 
 
-#: Behind a dataset's name, the partitions of its rejects, type counts and id ranges; dataset names end in .db.
-REJECTS, TYPES, INDEX = ".rejects", ".types", ".index"
+#: Behind a dataset's name, the partitions of its rejects, type counts, id ranges and text maps; dataset names end in .db.
+REJECTS, TYPES, INDEX, SEARCH = ".rejects", ".types", ".index", ".search"
 _RANGE = ("min(id) AS low", "max(id) AS high", "count(*) AS n")
 _TYPE_COUNTS = ", ".join(["type string", *[f"{c} long" for c in COUNTS]])
 
@@ -108,12 +110,14 @@ def write_batch(
     position_col: str | None = None,
     rejects: DataFrame | None = None,
     count_types: bool = True,
+    map_texts: bool = False,
 ) -> int:
     """Write `row_data` rows as one batch in one commit; a repeated batch replaces itself.
 
     rejects: (row_data, reason) of lines that are no records. They go to the same table in the
     same commit, in a partition that no dataset name can have; see `read_rejects`. So do the
     batch's type counts (`log_type_counts`), unless count_types is off, and its range of ids.
+    map_texts stores maps of its texts too, which `log_search` uses; a relabelled dataset has none.
     """
     spark = df.sparkSession
     numbered = number_records(df, next_id(spark, table, dataset, batch), order_col, position_col)
@@ -129,6 +133,8 @@ def write_batch(
     rows = plain.unionByName(_index_rows(plain))
     if count_types:
         rows = rows.unionByName(_type_rows(plain))
+    if map_texts:
+        rows = rows.unionByName(_search_rows(plain))
     if rejects is not None:
         refused = rejects.select(
             F.lit(None).cast("long").alias("id"), F.lit(ts).alias("upload_timestamp"), "row_data",
@@ -171,6 +177,35 @@ def log_type_counts(spark: SparkSession, table: str, dataset: str | None = None)
     return add_counts(counts)
 
 
+def _search_rows(rows: DataFrame) -> DataFrame:
+    """The text maps of every (dataset, batch) of log rows, as rows of the log."""
+    maps = text_maps(rows, "dataset", "batch", "upload_timestamp")
+    return maps.select(
+        F.lit(None).cast("long").alias("id"), "upload_timestamp",
+        F.to_json(F.struct("bucket", F.base64("bits").alias("bits"))).alias("row_data"),
+        F.lit(None).cast("string").alias("T"), F.concat("dataset", F.lit(SEARCH)).alias("dataset"), "batch",
+    )
+
+
+def log_search(spark: SparkSession, table: str, dataset: str | None, query: str) -> DataFrame:
+    """Decoded rows of a dataset with `query` in any value; batches whose text maps rule it out are not read.
+
+    Batches without maps are read, and all are for a query below three characters. The names of
+    the batches to read come to the driver.
+    """
+    name, log = dataset_name(spark, dataset), read_log(spark, table)
+    rows = log.where(F.col("dataset") == name)
+    wanted = wanted_bits(spark, query)
+    if wanted:
+        stored = log.where(F.col("dataset") == name + SEARCH)
+        parsed = stored.select("batch", F.from_json("row_data", "bucket int, bits string").alias("m"))
+        maps = parsed.select("batch", "m.bucket", F.unbase64("m.bits").alias("bits"))
+        unmapped = rows.select("batch").distinct().join(stored.select("batch").distinct(), "batch", "left_anti")
+        near = [r["batch"] for r in batches_with(maps, wanted).unionByName(unmapped).collect()]
+        rows = rows.where(F.col("batch").isin(near))
+    return search_any(decode_records(rows), query)
+
+
 def _index_rows(rows: DataFrame) -> DataFrame:
     """The range of ids and the number of rows of every (dataset, batch) of log rows, as rows of the log."""
     ranges = rows.groupBy("dataset", "batch", "upload_timestamp").agg(*map(F.expr, _RANGE))
@@ -317,7 +352,7 @@ def clear_dataset(spark: SparkSession, table: str, dataset: str | None = None) -
     """Delete the dataset's rows and what is stored beside them, so that ids start at 1 again; returns (rows_deleted)."""
     name = dataset_name(spark, dataset)
     n = dataset_scan(spark, table, dataset).count()
-    for part in (name, name + REJECTS, name + TYPES, name + INDEX):
+    for part in (name, *(name + beside for beside in (REJECTS, TYPES, INDEX, SEARCH))):
         if not read_log(spark, table).where(F.col("dataset") == part).isEmpty():
             empty = spark.createDataFrame([], RECORDS).drop("dataset")
             empty.write.mode("overwrite").partitionBy("batch").parquet(os.path.join(table, f"dataset={part}"))

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,6 +275,24 @@ def test_deep_pages_of_a_gapped_log(spark, tmp_path):
     assert records.log_page(spark, table, "none", 3, 0).rows.count() == 0
 
 
+def test_search_reads_only_batches_that_can_hold_the_text(spark, tmp_path):
+    table, rng = str(tmp_path / "log"), random.Random(3)
+    words = ["alpha", "Bravo", "chÄrlie", "delta", "écho", "fox trot", "漢字文", "x", "", "a.b*c"]
+    for i in range(6):
+        texts = [json.dumps({"k": rng.choice(words[i : i + 4]), "n": str(rng.randrange(50)), "z": None}, ensure_ascii=False) for _ in range(30)]
+        df = spark.createDataFrame([(n, t) for n, t in enumerate([*texts, "{bad json", "{}"])], "n long, row_data string")
+        records.write_batch(df, table, "lab.db", f"b{i}", NOW, "n", map_texts=i != 5)
+    rows = decode_records(records.dataset_scan(spark, table, "lab"))
+    read = {}
+    for q in ("ALPHA", "lph", "chär", "écho", "x tr", "漢字文", "b*c", "ed to par", "zzz", "4", "", "no such text"):
+        found = records.log_search(spark, table, "lab", q)
+        assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in grid.search_any(rows, q).collect()), q
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        read[q] = {b for b in (f"b{i}" for i in range(6)) if re.search(rf"\b{b}\b", plan)}
+    assert read["ALPHA"] == {"b0", "b5"} and read["no such text"] == {"b5"} and not read["4"]  # b5 has no maps
+    assert read["ed to par"] == {f"b{i}" for i in range(6)}  # text of broken rows
+
+
 def test_type_statistics_edges(spark):
     texts = ['{"type":"a"}', '{"type":"a"}', '{"TYPE":" b "}', '{"type":"nan"}', "{bad", '{"x":1}']
     rec = log_of(spark, texts, ["training", "TESTING", None, "training", "testing", "testing"])
