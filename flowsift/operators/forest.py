@@ -151,6 +151,8 @@ def train_record_forest(
     """
     if categorical not in ("index", "zero"):
         raise ValueError("categorical must be 'index' or 'zero'")
+    # A filter would be moved below the input's own shuffle and parse there: written down, each document is parsed once.
+    df = written(df, "records")
     keys = record_feature_keys(df) if features is None else features
     text_keys = [k for k in keys if categorical == "index" and k in categorical_keys]
     stages, vectors, names, inputs, arity = _record_stages(df, keys, text_keys)
@@ -246,14 +248,15 @@ def evaluate(
     y = (F.col(label) if isinstance(label, str) else label).cast("int").alias("y")
     p = vector_to_array("probability")[1]
     pred = F.col("prediction").cast("int") if threshold is None else (p >= threshold).cast("int")
-    out = model.transform(df.withColumn("_y", y)).where(F.col("_y").isNotNull())
+    out = model.transform(df.withColumn("_y", y))
     names = names or vector_names(out)
     sc = out.select(F.col("_y").alias("y"), p.alias("score"), pred.alias("pred"))
     sc = sc.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cm = confusion_matrix(sc).first()
+        known = sc.where(F.col("y").isNotNull())  # behind the stored rows, so that no document is parsed for it again
+        cm = confusion_matrix(known).first()
         basic = metrics_of(spark.createDataFrame([cm])).first()
-        ranked = ranking_metrics(sc).first()
+        ranked = ranking_metrics(known).first()
     finally:
         sc.unpersist()
     top = [(r["feature"], r["importance"]) for r in importance_topk(model, names, topk, spark).collect()]

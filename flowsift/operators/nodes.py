@@ -83,6 +83,18 @@ class Compiled:
     shares: np.ndarray
     categories: dict[int, np.ndarray]
 
+    def __post_init__(self):
+        # Every (place, category) that goes left as one sorted number, to look up all rows of a level at once.
+        self.width = 1 + int(max((c.max() for c in self.categories.values() if len(c)), default=0))
+        self.listed = np.sort(np.concatenate([[], *(p * self.width + c for p, c in self.categories.items())]).astype(np.int64))
+
+    def _listed(self, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Whether each value is among the categories of its place."""
+        known = (value >= 0) & (value < self.width) & (value == np.floor(value))
+        key = place * self.width + np.where(known, value, 0).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.listed, key), len(self.listed) - 1)
+        return known & (self.listed[at] == key) if len(self.listed) else known & False
+
     def walk(self, root: int, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Level by level, the places that rows stand at and the numbers of those rows; each row until its leaf."""
         who, here = np.arange(len(x)), np.full(len(x), root)
@@ -93,9 +105,8 @@ class Compiled:
             value = x[who, self.feature[here]]
             goes_left = value <= self.threshold[here]
             if self.categories:
-                for one in np.unique(here[np.isnan(self.threshold[here])]):
-                    some = here == one
-                    goes_left[some] = np.isin(value[some], self.categories[int(one)])
+                some = np.flatnonzero(np.isnan(self.threshold[here]))
+                goes_left[some] = self._listed(here[some], value[some])
             here = np.where(goes_left, self.left[here], self.right[here])
 
     def leaves(self, root: int, x: np.ndarray) -> np.ndarray:
@@ -259,13 +270,14 @@ def _route(rows: DataFrame, compiled: Compiled, seed: int) -> DataFrame:
             for root in forest.trees.tolist() if len(x) else []:
                 tree = int(forest.tree[root])
                 leaf = forest.leaves(root, x)
-                drawn = weight * bag_weights(row, tree, seed) if bagged else weight
-                who = np.flatnonzero(impure[leaf] & (drawn > 0))
+                who = np.flatnonzero(impure[leaf])
+                drawn = weight[who] * bag_weights(row[who], tree, seed) if bagged else weight[who]
+                who, drawn = who[drawn > 0], drawn[drawn > 0]
                 if len(who):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(who), tree, np.int32)), pa.array(forest.node[leaf[who]]), pa.array(row[who]),
-                            pa.array(label[who]), pa.array(drawn[who]), batch.column(3).take(pa.array(who)),
+                            pa.array(label[who]), pa.array(drawn), batch.column(3).take(pa.array(who)),
                         ],
                         names=["tree", "leaf", "row", "label", "weight", "x"],
                     )

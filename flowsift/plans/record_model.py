@@ -12,6 +12,7 @@ from flowsift.operators.features import record_feature_keys
 from flowsift.operators.forest import evaluate, run_row, train_record_forest
 from flowsift.operators.nodes import NodeForest
 from flowsift.schema import TESTING, TRAINING
+from flowsift.session import dealt
 from flowsift.sources.decode import decode_records
 from flowsift.sources.models import load_model, log_run, save_model
 from flowsift.sources.records import require_split, split_scan
@@ -27,7 +28,7 @@ def train_from_log(
     name: str = "random-forest",
 ) -> PipelineModel | NodeForest:
     """Train on the rows labelled 'training'; the run is logged with metrics still null."""
-    m = decode_records(split_scan(require_split(rec), TRAINING))
+    m = decode_records(dealt(split_scan(require_split(rec), TRAINING)))
     features = record_feature_keys(m)
     model = train_record_forest(m, trees, depth, categorical, seed, features)
     save_model(model, os.path.join(out_dir, "model"))
@@ -43,7 +44,7 @@ def test_from_log(
     model = load_model(os.path.join(out_dir, "model"))
     if model is None:
         raise LookupError("no trained model: train first")
-    m = decode_records(split_scan(require_split(rec), TESTING))
+    m = decode_records(dealt(split_scan(require_split(rec), TESTING)))
     label = parse_number(F.try_element_at(F.col("data"), F.lit("label")))
     run = evaluate(model, m, label, name)
     log_run(os.path.join(out_dir, "runs"), run)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -59,6 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 SMALL_BYTES = 128 * 1024 * 1024  # what one scan task reads by default
+MAX_PIECES = 2_000  # the size is an estimate and may be far too high
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -73,3 +75,17 @@ def spread(df: DataFrame) -> DataFrame:
     if int(str(size)) > SMALL_BYTES:
         return df
     return df.repartition(min(64, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def dealt(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Deal the rows of an input of any size to all cores, for costly work or several passes behind it.
+
+    A large table in few files or row groups, or with one of them larger than the rest, keeps
+    few cores busy in every pass. Each row is shuffled once; row order is not kept. A frame with
+    joins has no usable size estimate: `source`, with about as many bytes, gives one instead.
+    """
+    if df.isStreaming:
+        return df
+    size = int(str((df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(min(64, cores), min(MAX_PIECES, math.ceil(size / SMALL_BYTES))))
