@@ -419,7 +419,7 @@ def _small_forest(spark, sf) -> nodes.NodeForest:
 )
 def model_save(spark, sf):
     """Rows the reloaded model scores like the one that was saved."""
-    m = _test_m(spark, sf)
+    m = written(_test_m(spark, sf), "records")
     before = forest.score(_record_model(spark, sf), m)
     after = forest.score(models.load_model(_saved(spark, sf)), m).withColumnRenamed("score", "again")
     same = F.count_if(F.col("score") == F.col("again"))
