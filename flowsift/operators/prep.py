@@ -12,6 +12,17 @@ from flowsift.schema import CATEGORICAL
 SMALL = 200_000  # rows per column an exact aggregate may hold
 ACCURACY = 1_000  # a coarse sketch is cheap, and the exact counts of each round make up for it
 SLACK = 3 / ACCURACY
+COLUMNS_AT_ONCE = 8  # statistics of more columns make an aggregate too wide for generated code
+
+
+def _first_of(df: DataFrame, aggregates: list[list[Column]]) -> dict:
+    """The aggregates, a list for each column, in passes over a few columns each."""
+    out = {}
+    for i in range(0, len(aggregates), COLUMNS_AT_ONCE):
+        some = [a for column in aggregates[i : i + COLUMNS_AT_ONCE] for a in column]
+        row = df.agg(*some).first()
+        out |= {n: row[n] for n in row.__fields__}
+    return out
 
 
 def exact_medians(df: DataFrame, cols: list[str], small: int = SMALL) -> dict[str, float | None]:
@@ -24,10 +35,16 @@ def exact_medians(df: DataFrame, cols: list[str], small: int = SMALL) -> dict[st
     x = {c: F.col(c).cast("double") for c in cols}
     if df.count() <= small:
         return df.agg(*[F.percentile(v, 0.5).alias(c) for c, v in x.items()]).first().asDict()
-    first = df.agg(
-        *[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(c) for c, v in x.items()],
-        *[F.percentile_approx(v, [0.5 - SLACK, 0.5 + SLACK], ACCURACY).alias(f"~{c}") for c, v in x.items()],
-    ).first()
+    first = _first_of(
+        df,
+        [
+            [
+                F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(c),
+                F.percentile_approx(v, [0.5 - SLACK, 0.5 + SLACK], ACCURACY).alias(f"~{c}"),
+            ]
+            for c, v in x.items()
+        ],
+    )
     # Per column: the bracket [lo, hi], values in it, rank of the lower middle inside it.
     state = {
         c: {**first[c].asDict(), "k": (first[c]["n"] - 1) // 2, "even": first[c]["n"] % 2 == 0}
@@ -53,15 +70,15 @@ def _bracket(df: DataFrame, x: dict[str, Column], wide: dict[str, dict]) -> dict
     for c, s in wide.items():
         share = (s["k"] + 1) / s["n"]
         around = [max(0.0, share - SLACK), min(1.0, share + SLACK)]
-        sketches.append(F.percentile_approx(F.when(_within(x[c], s), x[c]), around, ACCURACY).alias(c))
-    return df.agg(*sketches).first().asDict()
+        sketches.append([F.percentile_approx(F.when(_within(x[c], s), x[c]), around, ACCURACY).alias(c)])
+    return _first_of(df, sketches)
 
 
 def _narrow(df: DataFrame, x: dict[str, Column], wide: dict[str, dict], near: dict[str, list[float]]) -> None:
     checks = []
     for c, s in wide.items():
         inside, (lo, hi) = _within(x[c], s), near[c]
-        checks.append(
+        checks.append([
             F.struct(
                 F.count_if(inside & (x[c] < lo)).alias("below"),
                 F.count_if(inside & (x[c] < hi)).alias("below_hi"),
@@ -72,8 +89,8 @@ def _narrow(df: DataFrame, x: dict[str, Column], wide: dict[str, dict], near: di
                 F.max(F.when(inside & (x[c] < hi), x[c])).alias("before_hi"),
                 F.min(F.when(inside & (x[c] > hi), x[c])).alias("after_hi"),
             ).alias(c)
-        )
-    seen = df.agg(*checks).first()
+        ])
+    seen = _first_of(df, checks)
     for c, s in wide.items():
         (lo, hi), got, k, n = near[c], seen[c], s["k"], s["n"]
         # The rank falls on one of five parts: before lo, lo, between, hi, after hi.
@@ -136,11 +153,13 @@ def impute(df: DataFrame, medians: DataFrame) -> DataFrame:
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row of (mean, std) structs, population standard deviation."""
-    return df.agg(
-        *[
-            F.struct(F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std")).alias(c)
-            for c in cols
-        ]
+    moments = [
+        [F.struct(F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std")).alias(c)]
+        for c in cols
+    ]
+    found = _first_of(df, moments)
+    return df.sparkSession.createDataFrame(
+        [tuple(found[c] for c in cols)], ", ".join(f"`{c}` struct<mean: double, std: double>" for c in cols)
     )
 
 
