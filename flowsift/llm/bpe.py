@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from flowsift.llm.tokens import in_steps
+
 #: Halves of at most this many characters are encoded directly.
 LEAF = 4096
 #: The first window reaches this many characters to either side.
@@ -100,6 +103,31 @@ def decode_tree(ids: np.ndarray, table: list[bytes], leaf: int = LEAF) -> bytes:
     return decode_tree(ids[:middle], table, leaf) + decode_tree(ids[middle:], table, leaf)
 
 
+def encode_batches(batches: Iterable[pa.RecordBatch], ranks_path: str, pattern: str, leaf: int = LEAF) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids) of batches of ids and texts, in steps bounded in bytes of text."""
+    encoding, _ = load_encoding(ranks_path, pattern)
+    for batch in (step for whole in batches for step in in_steps(whole, 1)):
+        out = [
+            np.array(encode_tree(t or "", encoding.encode_ordinary, leaf), "<u4").tobytes() for t in batch.column(1).to_pylist()
+        ]
+        sizes = pa.array([len(b) // 4 for b in out], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+
+def decode_batches(batches: Iterable[pa.RecordBatch], ranks_path: str, pattern: str, leaf: int = LEAF) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids, decoded) of batches of the first three, in steps bounded in bytes of ids."""
+    _, table = load_encoding(ranks_path, pattern)
+    for batch in (step for whole in batches for step in in_steps(whole, 2)):
+        out = [None if b is None else decode_tree(np.frombuffer(b, "<u4"), table, leaf) for b in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"]
+        )
+
+
+def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
 def encode_documents(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit numbers, special tokens never used.
 
@@ -108,34 +136,29 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, ranks_path: st
     """
 
     def run(batches):
-        encoding, _ = load_encoding(ranks_path, pattern)
-        for batch in batches:
-            out = [
-                np.array(encode_tree(t or "", encoding.encode_ordinary, leaf), "<u4").tobytes()
-                for t in batch.column(1).to_pylist()
-            ]
-            sizes = pa.array([len(b) // 4 for b in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), sizes, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"]
-            )
+        return encode_batches(batches, ranks_path, pattern, leaf)
 
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _picked(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): the bytes that the ids stand for; null ids decode to null."""
 
     def run(batches):
-        _, table = load_encoding(ranks_path, pattern)
-        for batch in batches:
-            out = [
-                None if b is None else decode_tree(np.frombuffer(b, "<u4"), table, leaf) for b in batch.column(2).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"]
-            )
+        return decode_batches(batches, ranks_path, pattern, leaf)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(
         run, "doc_id long, n_tokens long, ids binary, decoded binary"
     )
+
+
+def round_trip_documents(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+    """The rows of `decode_documents` behind `encode_documents`, by one Python worker for each task.
+
+    The two one behind the other hold two workers for each task, with the vocabulary in both.
+    """
+
+    def run(batches):
+        return decode_batches(encode_batches(batches, ranks_path, pattern, leaf), ranks_path, pattern, leaf)
+
+    return _picked(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

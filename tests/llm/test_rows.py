@@ -99,6 +99,43 @@ def test_bpe_odd_rows(odd):
     assert bpe.encode_documents(odd.limit(0), "doc_id", "text", RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_holds_one_worker_for_each_task(spark, sf):
+    plan = QUERIES["op7_bpe"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\b(MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython)\b", plan)) == 1
+
+
+def test_bpe_round_trip_odd_rows(odd):
+    names = ("doc_id", "text", RANKS, public_tokenizers.PATTERN)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, bytes(r.ids))
+    both = bpe.decode_documents(bpe.encode_documents(odd, *names), *names[2:])
+    once = bpe.round_trip_documents(odd, *names)
+    assert once.schema == both.schema and sorted(once.collect(), key=key) == sorted(both.collect(), key=key)
+    assert bpe.round_trip_documents(odd.limit(0), *names).count() == 0
+
+
+def test_bpe_steps_are_bounded_in_bytes():
+    texts = ["", None, *["word é " * 150_000] * 4, "a", "word " * 1_000_000, None, "b"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([None, *range(len(texts) - 1)], pa.int64()), pa.array(texts)], names=["doc_id", "text"]
+    )
+    args = (RANKS, public_tokenizers.PATTERN)
+    coded = list(bpe.encode_batches(iter([batch, batch.slice(0, 0)]), *args))
+    back = list(bpe.decode_batches(iter(coded), *args))
+    assert len(coded) > 2
+    for b in back:
+        assert b.num_rows == 1 or sum(len(t) for t in b.column(3).to_pylist()) <= tokens.STEP_BYTES
+    rows = [r for b in back for r in b.to_pylist()]
+    assert [(r["doc_id"], r["decoded"]) for r in rows] == [
+        (i, (t or "").encode()) for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)
+    ]
+    assert all(4 * r["n_tokens"] == len(r["ids"]) for r in rows)
+    # Null ids stay null, whole batches of them too.
+    (none,) = bpe.decode_batches(
+        [pa.record_batch([pa.array([1, 1]), pa.array([0, 0]), pa.array([None, None], pa.binary())], names=["doc_id", "n_tokens", "ids"])], *args
+    )
+    assert none.column(3).to_pylist() == [None, None]
+
+
 def check_packing(rows, texts, window=packing.WINDOW):
     """rows: of pack(); texts: by doc_id, distinct ids."""
     rows = sorted(rows, key=lambda r: (r.sequence_id, r.offset))
