@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 from flowsift.functions import label_name, parse_number
 from flowsift.functions.text import NUMBER, WHITESPACE
 from flowsift.operators.features import column_names, record_feature_keys
+from flowsift.operators.growth import BINS, grow_forest
 from flowsift.operators.metrics import confusion_matrix, metrics_of, ranking_metrics
 from flowsift.operators.nodes import LEAF_BYTES, MAX_DEPTH, NodeForest, grow_to_purity, model_nodes, node_importances
 from flowsift.operators.sparse import SparseForest, record_dictionary, record_vectors
@@ -30,13 +31,18 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select("label", (total / (classes * F.col("n"))).alias("weight"))
 
 
-def _weight_column(df: DataFrame, label: str) -> Column:
+def _weight_column(weights: dict[float, float], label: str) -> Column:
     out = F.lit(1.0)
-    for r in class_weights(df, label).collect():  # one row per class
-        out = F.when(F.col(label) == r["label"], r["weight"]).otherwise(out)
+    for value, weight in weights.items():
+        out = F.when(F.col(label) == value, weight).otherwise(out)
     return out
 
 
+def _has_categories(df: DataFrame, col: str) -> bool:
+    """Whether a slot of the vector counts categories, of which any set may go left; those of two are cut as numbers."""
+    return bool(df.schema[col].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal"))
+
+
 def _forest(trees: int, depth: int, seed: int, **more: Any) -> RandomForestClassifier:
     if depth > MAX_DEPTH:
         raise ValueError(f"a tree of depth {depth} is asked for; MLlib grows at most {MAX_DEPTH} levels")
@@ -65,10 +71,11 @@ def train_forest(
 ) -> RandomForestClassificationModel:
     """Forest on a prepared vector column."""
     data = spread(df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label")))
-    if not weighted:
-        return _forest(trees, depth, seed).fit(data)
-    data = data.withColumn("weight", _weight_column(data, "label"))
-    return _forest(trees, depth, seed, weightCol="weight").fit(data)
+    by_class = {r["label"]: r["weight"] for r in class_weights(data).collect()} if weighted else {}  # one row per class
+    more = {"weightCol": "weight"} if weighted else {}
+    if depth and not _has_categories(data, "features"):
+        return grow_forest(data, _forest(trees, depth, seed, maxBins=BINS, **more), by_class)
+    return _forest(trees, depth, seed, **more).fit(data.withColumn("weight", _weight_column(by_class, "label")))
 
 
 def _sql_text(text: str) -> str:

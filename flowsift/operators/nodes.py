@@ -308,24 +308,25 @@ def _best_cut(x: np.ndarray, y: np.ndarray, w: np.ndarray, counts: np.ndarray, t
     return best[1], float(best[2]), max(0.0, float(best[0] / total - (counts**2).sum() / total**2))
 
 
-def grow_leaf(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, tried: int, seed: int) -> list[tuple]:
-    """The nodes of a tree that parts the rows until every leaf is pure or its rows are alike.
+def grow_leaf(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, tried: int, seed: int, depth: int | None = None) -> list[tuple]:
+    """The nodes of a tree that parts the rows until every leaf is pure, its rows are alike, or `depth` levels are reached.
 
     (number, feature, threshold, left, right, shares, gain, weight); the root is number 0. NaN
     is larger than every number, as it goes right.
     """
     x, rng = np.where(np.isnan(x), np.inf, x), np.random.default_rng(seed)
-    out, todo, known = [], [(0, np.arange(len(x)))], 1
+    out, todo, known = [], [(0, np.arange(len(x)), 0)], 1
     while todo:
-        number, rows = todo.pop()
+        number, rows, level = todo.pop()
         counts = np.bincount(y[rows], w[rows], classes)
-        cut = _best_cut(x[rows], y[rows], w[rows], counts, tried, rng) if (counts > 0).sum() > 1 else None
+        ends = (counts > 0).sum() < 2 or level == depth
+        cut = None if ends else _best_cut(x[rows], y[rows], w[rows], counts, tried, rng)
         children = (None, None) if cut is None else (known, known + 1)
         out.append((number, *(cut or (None,) * 3)[:2], *children, (counts / counts.sum()).tolist(), cut and cut[2], float(counts.sum())))
         if cut is not None:
             known += 2
             goes_left = x[rows, cut[0]] <= cut[1]
-            todo += [(children[0], rows[goes_left]), (children[1], rows[~goes_left])]
+            todo += [(children[0], rows[goes_left], level + 1), (children[1], rows[~goes_left], level + 1)]
     return out
 
 
@@ -348,8 +349,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _grow(routed: DataFrame, classes: int, seed: int) -> DataFrame:
-    """Node rows of every (tree, leaf): its root keeps the leaf's number, others follow from it."""
+def _grow(routed: DataFrame, classes: int, seed: int, parts: int | None = None) -> DataFrame:
+    """Node rows of every (tree, leaf): its root keeps the leaf's number, others follow from it.
+
+    A column `room` has the levels that a leaf may still grow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -357,7 +361,8 @@ def _grow(routed: DataFrame, classes: int, seed: int) -> DataFrame:
             x = _matrix(group["x"].combine_chunks())
             y, w = (group[n].combine_chunks().to_numpy(zero_copy_only=False) for n in ("label", "weight"))
             tried = max(1, math.ceil(math.sqrt(x.shape[1])))
-            rows = grow_leaf(x, y, w, classes, tried, hash((seed, tree, leaf)) & 0xFFFFFFFF)
+            room = group["room"][0].as_py() if "room" in group.column_names else None
+            rows = grow_leaf(x, y, w, classes, tried, hash((seed, tree, leaf)) & 0xFFFFFFFF, room)
             name = lambda i: leaf if i == 0 else ((leaf + 1) << 32) + i
             number, feature, threshold, left, right, shares, gain, weight = zip(*rows)
             named = lambda ids: pa.array([None if i is None else name(i) for i in ids], pa.int64())
@@ -371,7 +376,7 @@ def _grow(routed: DataFrame, classes: int, seed: int) -> DataFrame:
                 names=[c.split()[0] for c in NODES.split(", ")],
             )
 
-    dealt = routed.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "row")
+    dealt = routed.repartition(*([parts] if parts else []), "tree", "leaf").sortWithinPartitions("tree", "leaf", "row")
     return dealt.mapInArrow(run, NODES)
 
 

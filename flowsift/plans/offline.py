@@ -14,7 +14,7 @@ from flowsift.operators.forest import evaluate, train_forest, vector_names
 from flowsift.operators.metrics import threshold_sweep
 from flowsift.operators.prep import fit_preprocess
 from flowsift.operators.split import stratified_split
-from flowsift.session import dealt, written
+from flowsift.session import dealt, small_methods, written
 from flowsift.sources.matrix import write_matrix, write_meta
 from flowsift.sources.models import log_run, save_model
 from flowsift.sources.requests import score_document
@@ -36,7 +36,8 @@ def prepare_matrix(
     """Cleaned flows -> (fitted preprocessing, id/features/label/split, feature names)."""
     ready = stratified_split(prepare_flows(flows), "Label", test_size, seed, id_col)
     # Statistics and forest read the cleaned rows many times; one written copy serves them all.
-    ready = written(dealt(ready, flows), "flows")
+    with small_methods(flows.sparkSession):
+        ready = written(dealt(ready, flows), "flows")
     model = fit_preprocess(ready, numeric_features(ready), fit_on=fit_on)
     out = model.transform(ready)
     matrix = out.select(id_col, "features", F.col("Label").alias("label"), "split")

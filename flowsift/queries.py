@@ -19,7 +19,7 @@ from flowsift.fixtures import FOREST_FEATURES, forest_nodes, forest_sql, table,
 from flowsift.operators import features, flows, forest, grid, metrics, nodes, position, prep, sample, sparse, split, stats
 from flowsift.plans.dashboard import sampled_type_stats
 from flowsift.plans.offline import prepare_matrix
-from flowsift.session import dealt, fresh_path, spread, written
+from flowsift.session import dealt, fresh_path, small_methods, spread, written
 from flowsift.sources import matrix, models, records, requests
 from flowsift.sources import flows as flow_source
 from flowsift.sources.decode import decode_records
@@ -1182,7 +1182,9 @@ def rf_train_weighted(spark, sf):
     scored = model.transform(test).select(
         F.col("label").alias("y"), vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("pred")
     )
-    return _quality(written(scored, "scored"), model.getNumTrees, 0.93, 0.96)
+    with small_methods(spark):
+        scored = written(scored, "scored")
+    return _quality(scored, model.getNumTrees, 0.93, 0.96)
 
 
 @query(

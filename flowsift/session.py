@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
 
 def build_session(app: str = "flowsift", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; `conf` adds or overrides."""
@@ -59,6 +63,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs over rows of many columns: generated methods above 8000 bytes, which the JVM only interprets, are not used inside."""
+    before = spark.conf.get(METHOD_LIMIT)
+    spark.conf.set(METHOD_LIMIT, 8000)
+    try:
+        yield
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
+
+
 SMALL_BYTES = 128 * 1024 * 1024  # what one scan task reads by default
 MAX_PIECES = 2_000  # the size is an estimate and may be far too high
 
