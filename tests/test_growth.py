@@ -40,7 +40,7 @@ def test_cuts_between_any_two_values(spark, monkeypatch, levels):
         by_levels(monkeypatch, BINS=4)
     values = [i / 16 for i in range(2000)]
     random.Random(1).shuffle(values)
-    df = frame(spark, [[v] for v in values], [v > 77.12 for v in values])
+    df = frame(spark, [[v] for v in values], [77.12 < v < 101.3 for v in values])
     wrong = forest.train_forest(df, trees=1, depth=14).transform(df).where("prediction != label")
     assert wrong.count() == 0
 
